@@ -12,7 +12,7 @@ from staywise.functions.vectors import as_vector
 from staywise.operators import notes, oversample, preprocess, splits
 from staywise.plans import stand_in
 from staywise.plans.feature_build import build_features, wide_features
-from staywise.session import new_folder
+from staywise.session import new_folder, written
 from staywise.sources import tables
 
 
@@ -155,7 +155,7 @@ _SPLIT_ENRICHED = ENRICHED + ", " + _quota_sql("e", "Churn", "customerID", _CUST
 def feature_table_splits(spark, sf):
     """The whole feature build, written partitioned by split and read back split by split."""
     path = new_folder(spark, "features")
-    tables.write_feature_table(wide_features(build_features(enriched(spark, sf))), path)
+    tables.write_feature_table(wide_features(build_features(written(enriched(spark, sf), "enriched"))), path)
     parts = None
     for name in ("train", "val", "test"):
         part = tables.read_split(spark, path, name)

@@ -6,6 +6,7 @@ budget of trees and candidates; the library's defaults are the full ones.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
@@ -38,15 +39,24 @@ _SMALL = TreeSettings(trees=4, depth=3)
 _CANDIDATES = (TreeSettings(trees=4, depth=3, learning_rate=0.2), TreeSettings(trees=4, depth=2, learning_rate=0.3))
 _PLAN = TrainingPlan(folds=3, oof=_SMALL, structured_candidates=_CANDIDATES, text_candidates=_CANDIDATES)
 
+_ENRICHED: dict[tuple[str, str], DataFrame] = {}
 _BUILDS: dict[tuple[str, str], FeatureBuild] = {}
 _MODELS: dict[tuple[str, str], StackedModel] = {}
 
 
+def enriched_table(spark, sf):
+    """The enriched table as the enrichment job leaves it, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ENRICHED:
+        _ENRICHED[key] = written(enriched(spark, sf), "enriched")
+    return _ENRICHED[key]
+
+
 def built(spark, sf) -> FeatureBuild:
     """The feature build of this session and folder, fitted once."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILDS:
-        build = build_features(enriched(spark, sf))
+        build = build_features(enriched_table(spark, sf))
         _BUILDS[key] = FeatureBuild(written(build.rows, "feature-rows", ["split"]), build.structured, build.text)
     return _BUILDS[key]
 
@@ -107,17 +117,17 @@ def feature_importance(spark, sf):
 
 @query("score_batch")
 def score_batch(spark, sf):
-    return scorer(spark, sf).score(enriched(spark, sf))
+    return scorer(spark, sf).score(enriched_table(spark, sf))
 
 
 @query("score_table")
 def score_table(spark, sf):
-    return display_scores(scorer(spark, sf).score(enriched(spark, sf)))
+    return display_scores(scorer(spark, sf).score(enriched_table(spark, sf)))
 
 
 @query("score_totals", CUSTOMERS + "SELECT count(*) AS total, true AS nlp_branch_available FROM v")
 def score_totals(spark, sf):
-    return batch_totals(scorer(spark, sf).score(enriched(spark, sf)))
+    return batch_totals(scorer(spark, sf).score(enriched_table(spark, sf)))
 
 
 @query(
@@ -126,7 +136,7 @@ def score_totals(spark, sf):
 )
 def score_degraded(spark, sf):
     """Without the text branch every row carries the one score its model gives the zero vector."""
-    scores = written(scorer(spark, sf).score(enriched(spark, sf), text_branch=False), "degraded")
+    scores = written(scorer(spark, sf).score(enriched_table(spark, sf), text_branch=False), "degraded")
     distinct = scores.agg(F.count_distinct("p_nlp")).first()[0]
     checked = with_errors(scores, SCORE_RESPONSE)
     return checked.select(
@@ -140,7 +150,7 @@ def score_degraded(spark, sf):
 )
 def score_valid(spark, sf):
     """Every request gets a score that keeps the response contract."""
-    checked = with_errors(scorer(spark, sf).score(enriched(spark, sf)), SCORE_RESPONSE)
+    checked = with_errors(scorer(spark, sf).score(enriched_table(spark, sf)), SCORE_RESPONSE)
     return checked.select(fv.ID, "nlp_branch_available", (F.size("errors") == 0).alias("valid"), "model_version")
 
 
@@ -149,7 +159,7 @@ def score_valid(spark, sf):
     ENRICHED + "SELECT customerID, CAST(20 AS BIGINT) AS dim, CAST(20 AS BIGINT) AS length, 'hashing-pca20' AS model_version FROM e",
 )
 def embedding_job(spark, sf):
-    vectors = embed(built(spark, sf).text, enriched(spark, sf), [fv.ID], version="hashing-pca20")
+    vectors = embed(built(spark, sf).text, enriched_table(spark, sf), [fv.ID], version="hashing-pca20")
     return vectors.select(fv.ID, "dim", F.size("embedding").cast("long").alias("length"), "model_version")
 
 
@@ -179,7 +189,7 @@ def attribution_adds_up(spark, sf):
 def meta_attribution(spark, sf):
     """How far each branch moved the stacked score, in log odds."""
     service = scorer(spark, sf)
-    rows = written(service.probabilities(enriched(spark, sf)).select(fv.ID, "p_struct", "p_nlp"), "branch-scores")
+    rows = written(service.probabilities(enriched_table(spark, sf)).select(fv.ID, "p_struct", "p_nlp"), "branch-scores")
     means = rows.agg(F.avg("p_struct"), F.avg("p_nlp")).first()
     return rows.select(fv.ID, *attribution.linear_contributions(service.model.meta, list(means), ["p_struct", "p_nlp"]))
 
@@ -192,7 +202,7 @@ def stream_scoring(spark, sf):
     """Scores of the stream next to scores of the batch, row by row."""
     service = scorer(spark, sf)
     source, output, checkpoint = (new_folder(spark, n) for n in ("score-requests", "scored", "progress"))
-    enriched(spark, sf).write.parquet(source)
+    enriched_table(spark, sf).write.parquet(source)
     arriving = spark.read.parquet(source)
     requests = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 4).parquet(source)
     score_stream(requests, service, output, checkpoint).awaitTermination()

@@ -25,50 +25,52 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(num, den), F.lit(0.0))
 
 
-def _fraction_digits(magnitude: Column, digits: int) -> tuple[Column, Column]:
-    """Whole part of ``magnitude`` and its fraction as an integer of ``digits`` decimals.
+def _scaled_integer(magnitude: Column, digits: int) -> Column:
+    """``magnitude * 10**digits`` as a bigint, rounded half-even from the exact binary value.
 
-    The fraction of a double is m / 2**53 for an integer m (a smaller remainder
-    only breaks ties), so m * 10**digits / 2**53 can be rounded half-even without
-    error in two 64-bit limbs of 27 and 26 bits.
+    The fraction of a double is (m + f) / 2**53 with an integer m and 0 <= f < 1.
+    (m + f) * 10**digits / 2**53 is rounded without error in two 64-bit limbs of 27
+    and 26 bits; f has so few bits left that f * 10**digits is exact. There is no
+    branch in here, so that codegen evaluates every shared part once.
     """
     scale = 10**digits
     whole = F.floor(magnitude)
     scaled = (magnitude - whole) * F.lit(float(2**53))
     m = F.floor(scaled)
-    low = m.bitwiseAND(F.lit(2**27 - 1)) * F.lit(scale)
+    rest = (scaled - m) * F.lit(float(scale))
+    low = m.bitwiseAND(F.lit(2**27 - 1)) * F.lit(scale) + F.floor(rest)
     high = F.shiftright(m, 27) * F.lit(scale) + F.shiftright(low, 27)
     quotient = F.shiftright(high, 26)
     remainder = F.shiftleft(high.bitwiseAND(F.lit(2**26 - 1)), 27).bitwiseOR(low.bitwiseAND(F.lit(2**27 - 1)))
     half = F.lit(2**52)
-    tie_up = (scaled > m) | (quotient.bitwiseAND(F.lit(1)) == 1)
-    up = (remainder > half) | ((remainder == half) & tie_up)
-    return whole, quotient + F.when(up, 1).otherwise(0)
+    sticky = (rest > F.floor(rest)).cast("long")
+    odd = quotient.bitwiseAND(F.lit(1))
+    # Above half, or half and (something follows or the quotient is odd).
+    up = (remainder + sticky.bitwiseOR(odd) > half).cast("long")
+    return whole * F.lit(scale) + quotient + up
+
+
+def _clipped(magnitude: Column, digits: int) -> Column:
+    """No larger than a power of two from which on doubles are coarser than ``digits`` decimals."""
+    return F.least(magnitude, F.lit(float(2 ** ((2**53 // 10**digits).bit_length() - 1))))
 
 
 def round_exact(c: Column, digits: int) -> Column:
     """Round the exact binary value half-even, as Python's ``round`` does."""
-    scale = 10**digits
-    magnitude = F.abs(c)
-    whole, fraction = _fraction_digits(magnitude, digits)
-    rounded = (whole * F.lit(scale) + fraction).cast("double") / F.lit(float(scale))
-    small = magnitude < F.lit(float(2**53 // scale))
-    return F.when(small, F.when(c < 0, -rounded).otherwise(rounded)).otherwise(F.round(c, digits))
+    number = c.cast("double")
+    magnitude = F.abs(number)
+    clipped = _clipped(magnitude, digits)
+    rounded = _scaled_integer(clipped, digits).cast("double") / F.lit(float(10**digits))
+    return F.signum(number) * (rounded + (magnitude - clipped))
 
 
 def money_text(c: Column) -> Column:
-    """Two decimals without grouping, rounded like Python's ``%.2f``."""
-    magnitude = F.abs(c)
-    whole, cents = _fraction_digits(magnitude, 2)
-    carried = whole + F.when(cents == 100, 1).otherwise(0)
-    shown = F.when(cents == 100, F.lit(0)).otherwise(cents)
-    text = F.concat(
-        F.when(c < 0, F.lit("-")).otherwise(F.lit("")),
-        carried.cast("string"),
-        F.lit("."),
-        F.lpad(shown.cast("string"), 2, "0"),
-    )
-    return F.when(magnitude < F.lit(float(2**53)), text).otherwise(F.format_string("%.2f", c))
+    """Two decimals without grouping, rounded like Python's ``%.2f``; for amounts below 2**46."""
+    number = c.cast("double")
+    cents = _scaled_integer(F.abs(number), 2)
+    sign = F.repeat(F.lit("-"), (number < 0).cast("int"))
+    whole = F.call_function("div", cents, F.lit(100)).cast("string")
+    return F.concat(sign, whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def at_least(probability: Column, threshold: float) -> Column:

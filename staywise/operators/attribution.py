@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.session import ship_code
 
 
 @dataclass(frozen=True)
@@ -101,6 +102,7 @@ def attribute(df: DataFrame, model: GBTClassificationModel, names: list[str], fe
 
     ``features`` is ``array<double>``; contributions plus base equal the raw margin.
     """
+    ship_code(df.sparkSession)
     leaves = tree_leaves(model)
     context = df.sparkSession.sparkContext
     # The model itself: trees x leaves, independent of the data.

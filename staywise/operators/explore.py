@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from staywise import fixed_values as fv
 from staywise.operators.clean import coerce_numbers, collapse_redundant, drop_missing, map_binaries
 from staywise.operators.ranking import exact_quantiles
+from staywise.session import ship_code
 
 
 def class_counts(df: DataFrame, label: str = fv.TARGET) -> DataFrame:
@@ -116,6 +117,7 @@ def pair_moments(df: DataFrame, columns: list[str]) -> tuple[list[str], np.ndarr
     Every task folds its Arrow batches into p x p matrices and emits them as p*p
     small rows, which a sum aggregate merges; the driver gets p*p numbers.
     """
+    ship_code(df.sparkSession)
     p = len(columns)
     numbers = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
     table = df.select(*numbers)

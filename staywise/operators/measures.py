@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 from staywise.functions.numbers import ratio
 from staywise.operators.ranking import running_counts
+from staywise.session import written
 
 
-def _tally() -> list[Column]:
+def _tally(weight: Column | None = None) -> list[Column]:
     y, p = F.col("label") == 1, F.col("prediction") == 1
-    return [
-        F.count_if(y & p).alias("tp"),
-        F.count_if(y & ~p).alias("fn"),
-        F.count_if(~y & p).alias("fp"),
-        F.count_if(~y & ~p).alias("tn"),
-    ]
+    cells = {"tp": y & p, "fn": y & ~p, "fp": ~y & p, "tn": ~y & ~p}
+    if weight is None:
+        return [F.count_if(test).alias(name) for name, test in cells.items()]
+    return [F.coalesce(F.sum(F.when(test, weight)), F.lit(0)).alias(name) for name, test in cells.items()]
 
 
 def confusion_matrix(df: DataFrame, by: list[str]) -> DataFrame:
@@ -38,26 +40,40 @@ def with_rates(confusion: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, by: list[str], score: str = "probability") -> DataFrame:
-    """Exact area under the ROC curve, ties counted half; NULL when a class is absent."""
-    label = F.col("label").cast("long")
-    tallied = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")
-    )
+def _area(tallied: DataFrame, by: list[str]) -> DataFrame:
+    """Area from (group, score, pos, neg) rows with one row per score."""
     ranked = running_counts(tallied, by, "score", ["neg"])
     wins = F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2.0)
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.groupBy(*by).agg(F.try_divide(F.sum(wins), F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
-def metric_suite(df: DataFrame, by: list[str]) -> DataFrame:
-    """recall, precision, f1 and roc_auc per group."""
-    rates = with_rates(confusion_matrix(df, by))
-    areas = roc_auc(df, by)
-    same = F.lit(True)
-    for b in by:
-        same = same & rates[b].eqNullSafe(areas[b])
-    return rates.join(areas, same).select(*[rates[b] for b in by], *fv.RUN_METRICS)
+def _counts_by_score(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Rows per key and score, written once: ranking reads it twice, and it is all that is needed further on."""
+    counted = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return written(counted, "scores")
+
+
+def _sides(counted: DataFrame, by: list[str]) -> DataFrame:
+    positive = F.col("label") == 1
+    return counted.groupBy(*by, "score").agg(
+        F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("pos"),
+        F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("neg"),
+    )
+
+
+def roc_auc(df: DataFrame, by: list[str], score: str = "probability") -> DataFrame:
+    """Exact area under the ROC curve, ties counted half; NULL when a class is absent."""
+    return _area(_sides(_counts_by_score(df, [*by, "label"], score), by), by)
+
+
+def metric_suite(df: DataFrame, by: list[str], score: str = "probability") -> DataFrame:
+    """recall, precision, f1 and roc_auc per group, from one scan of the scores."""
+    counted = _counts_by_score(df, [*by, "label", "prediction"], score)
+    rates = with_rates(counted.groupBy(*by).agg(*_tally(F.col("n"))))
+    areas = _area(_sides(counted, by), by).select(*[F.col(b).alias(f"_{b}") for b in by], "roc_auc")
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    return rates.join(areas, same).select(*by, *fv.RUN_METRICS)
 
 
 def _from_run(run: str, value: Column) -> Column:

@@ -12,15 +12,16 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, PCAModel, RegexTokenizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, PCAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 from staywise.functions.text import text_or_empty
 from staywise.functions.vectors import as_vector, zero_array
+from staywise.session import ship_code, written
 
 EncoderFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
 
@@ -39,6 +40,7 @@ def encoder_column(factory: EncoderFactory, width: int, key: str = "encoder") ->
     A failing encoder does not fail the job: the rows of that Arrow batch get zero
     vectors and ``available = false``.
     """
+    ship_code()
 
     @F.pandas_udf("vector array<double>, available boolean")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -55,12 +57,16 @@ def encoder_column(factory: EncoderFactory, width: int, key: str = "encoder") ->
     return encode
 
 
-def default_encoder(width: int = fv.EMBEDDING_WIDTH, text: str = "_text", output: str = "_encoded") -> Pipeline:
+def tokens(c: Column) -> Column:
+    """Lower-case words: runs of letters, digits and underscores in any script."""
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
+
+
+def default_encoder(width: int = fv.EMBEDDING_WIDTH, words: str = "_tokens", output: str = "_encoded") -> Pipeline:
     """Token hashing with inverse document frequency, unit length."""
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True, minTokenLength=1),
-            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=width),
+            HashingTF(inputCol=words, outputCol="_counts", numFeatures=width),
             IDF(inputCol="_counts", outputCol="_weighted"),
             Normalizer(inputCol="_weighted", outputCol=output),
         ]
@@ -95,6 +101,21 @@ class TextTransform:
     def names(self) -> list[str]:
         return [f"nlp__pca{i}" for i in range(self.components)]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Component model, mean and, if there is one, the fitted encoder."""
+        self.pca.write().overwrite().save(f"{path}/pca")
+        row = spark.createDataFrame([(self.width, self.mean, self.encoder is not None)], "width int, mean array<double>, fitted boolean")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/mean")
+        if self.encoder is not None:
+            self.encoder.write().overwrite().save(f"{path}/encoder")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, factory: EncoderFactory | None = None) -> TextTransform:
+        """An encoder that was plugged in is plugged in again: it is not part of the artifact."""
+        row = spark.read.parquet(f"{path}/mean").first()
+        encoder = PipelineModel.load(f"{path}/encoder") if row["fitted"] else None
+        return TextTransform(PCAModel.load(f"{path}/pca"), list(row["mean"]), encoder, factory, row["width"])
+
     def reduce(self, df: DataFrame, vector: str, output: str) -> DataFrame:
         """Project an ML vector column; Spark's projection does not centre, so the offset is taken off."""
         projected = self.pca.setInputCol(vector).setOutputCol("_projected").transform(df)
@@ -121,7 +142,8 @@ def encode_notes(
         encoded = texts.withColumn("_reply", encoder_column(factory, width)(F.col("_text")))
         encoded = encoded.withColumn("_encoded", as_vector(F.col("_reply.vector")))
         return encoded.withColumn("nlp_available", F.col("_reply.available")), ["_text", "_reply"]
-    encoded = encoder.transform(texts).withColumn("nlp_available", F.lit(True))
+    worded = texts.withColumn("_tokens", tokens(F.col("_text")))
+    encoded = encoder.transform(worded).withColumn("nlp_available", F.lit(True))
     return encoded, ["_text", "_tokens", "_counts", "_weighted"]
 
 
@@ -139,10 +161,14 @@ def fit_notes(
     width: int = fv.EMBEDDING_WIDTH,
     factory: EncoderFactory | None = None,
 ) -> TextTransform:
-    texts = train.select(note).withColumn("_text", text_or_empty(F.col(f"`{note}`")))
-    encoder = default_encoder(width).fit(texts) if factory is None else None
-    encoded, _ = encode_notes(train.select(note), note, encoder, factory, width)
-    pca, mean = fit_pca(encoded.select("_encoded"), "_encoded", components)
+    texts = train.select(text_or_empty(F.col(f"`{note}`")).alias(note))
+    encoder = None
+    if factory is None:
+        encoder = default_encoder(width).fit(texts.select(tokens(F.col(f"`{note}`")).alias("_tokens")))
+    encoded, _ = encode_notes(texts, note, encoder, factory, width)
+    # The component fit passes over the vectors several times; the texts are encoded once.
+    vectors = written(encoded.select("_encoded"), "vectors")
+    pca, mean = fit_pca(vectors, "_encoded", components)
     return TextTransform(pca, mean, encoder, factory, width)
 
 

@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
-from staywise.session import written
+from staywise.session import ship_code, written
 
-_MAX_PIVOTS = 512
+_MAX_PIVOTS = 2048
 _CHUNK_ROWS = 20000
 _SLICE_ROWS = 20000
 _BLOCK_DRAWS = 10000
+_CELLS_AT_ONCE = 4_000_000
 
 
 def _unit(parts: list[Column], seed: int) -> Column:
@@ -35,7 +36,7 @@ def _unit(parts: list[Column], seed: int) -> Column:
 
 
 def choose_pivots(points: DataFrame, seed: int) -> np.ndarray:
-    """Up to 512 points picked by hash; their number follows the square root of the table."""
+    """Points picked by hash; their number follows the square root of the table up to a fixed bound."""
     n = points.count()
     m = max(1, min(_MAX_PIVOTS, math.isqrt(n)))
     rows = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))).limit(m).collect()
@@ -47,15 +48,23 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def _slices(batch: pd.DataFrame, columns: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose distance matrix to ``columns`` points stays small."""
+    step = max(1, _CELLS_AT_ONCE // columns)
+    for start in range(0, len(batch), step):
+        yield batch.iloc[start : start + step]
+
+
 def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot and its distance."""
+    ship_code(points.sparkSession)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                d = _distances(np.stack(batch["x"].to_numpy()), pivots)
+            for part in _slices(batch, len(pivots)):
+                d = _distances(np.stack(part["x"].to_numpy()), pivots)
                 best = d.argmin(axis=1)
-                yield batch.assign(cell=best.astype("int32"), to_pivot=d[np.arange(len(best)), best])
+                yield part.assign(cell=best.astype("int32"), to_pivot=d[np.arange(len(best)), best])
 
     return points.mapInPandas(nearest, "pid string, x array<double>, copies long, cell int, to_pivot double")
 
@@ -69,7 +78,7 @@ def _search(points: DataFrame, requests: DataFrame, k: int, sizes: dict[int, int
     chunks = {cell: max(1, math.ceil(n / _CHUNK_ROWS)) for cell, n in sizes.items()}
     asked = {r["cell"]: r["n"] for r in requests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     slices = {cell: max(1, math.ceil(asked.get(cell, 0) / _SLICE_ROWS)) for cell in sizes}
-    # One row per pivot: at most 512.
+    # One row per pivot, so at most 2048.
     grid = F.broadcast(
         spark.createDataFrame([(c, chunks[c], slices[c]) for c in sizes], "grid_cell int, chunks int, slices int")
     )
@@ -97,9 +106,7 @@ def _search(points: DataFrame, requests: DataFrame, k: int, sizes: dict[int, int
         place_of = pd.Index(ids)
         copies = left["copies"].to_numpy()
         found = []
-        step = max(1, 4_000_000 // len(left))
-        for start in range(0, len(right), step):
-            part = right.iloc[start : start + step]
+        for part in _slices(right, len(left)):
             pids = part["for_pid"].to_numpy()
             d = _distances(np.stack(part["y"].to_numpy()), have)
             own = place_of.get_indexer(pids)
@@ -157,17 +164,18 @@ def nearest_neighbours(points: DataFrame, requests: DataFrame, k: int, seed: int
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["x"].to_numpy())
-            to_pivots = _distances(x, pivots)
-            # No point of a cell is closer than this; the slack absorbs rounding of the distances.
-            lower = np.maximum(to_pivots - radius[None, :], 0.0)
-            slack = 1e-7 * (1.0 + to_pivots)
-            visit = (lower - slack <= batch["bound"].to_numpy()[:, None]) & np.isfinite(radius)[None, :]
-            visit[np.arange(len(batch)), batch["cell"].to_numpy()] = False
-            rows, cols = np.nonzero(visit)
-            yield pd.DataFrame({"pid": batch["pid"].to_numpy()[rows], "x": [x[i] for i in rows], "cell": cols.astype("int32")})
+            for part in _slices(batch, len(pivots)):
+                x = np.stack(part["x"].to_numpy())
+                to_pivots = _distances(x, pivots)
+                # No point of a cell is closer than this; the slack absorbs rounding of the distances.
+                lower = np.maximum(to_pivots - radius[None, :], 0.0)
+                slack = 1e-7 * (1.0 + to_pivots)
+                visit = (lower - slack <= part["bound"].to_numpy()[:, None]) & np.isfinite(radius)[None, :]
+                visit[np.arange(len(part)), part["cell"].to_numpy()] = False
+                rows, cols = np.nonzero(visit)
+                yield pd.DataFrame(
+                    {"pid": part["pid"].to_numpy()[rows], "x": [x[i] for i in rows], "cell": cols.astype("int32")}
+                )
 
     more = bounded.select("pid", "x", "cell", "bound").mapInPandas(others, "pid string, x array<double>, cell int")
     away = _search(placed, written(more, "visits"), k, sizes)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANGES = 512
+from staywise.session import written
+
+_RANGES = 256
 
 
 def running_counts(df: DataFrame, by: list[str], order: str, weights: list[str], ranges: int = _RANGES) -> DataFrame:
@@ -17,7 +22,8 @@ def running_counts(df: DataFrame, by: list[str], order: str, weights: list[str],
     the rows of one range are sorted together.
     """
     shares = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(order, shares, 10000).alias("q")).first()["q"] or []
+    # Only the balance of the ranges depends on the sketch, so a coarse one will do.
+    found = df.agg(F.percentile_approx(order, shares, 1000).alias("q")).first()["q"] or []
     inner = sorted({float(q) for q in found if abs(q) != float("inf")})
     splits = [-float("inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(df)
@@ -108,33 +114,54 @@ def _key(w: dict) -> tuple:
     return w["group"], w["feature"], w["share"]
 
 
-def _group_is(by: list[str], values: tuple) -> Column:
-    test = F.lit(True)
-    for b, v in zip(by, values):
-        test = test & F.col(b).eqNullSafe(F.lit(v))
-    return test
+def _group_number(by: list[str], groups: dict) -> Column:
+    """The number of a row's group, as an array position."""
+    number = None
+    for g, values in groups.items():
+        tests = [F.col(b).eqNullSafe(F.lit(v)) for b, v in zip(by, values)]
+        mine = reduce(and_, tests, F.lit(True))
+        number = F.when(mine, F.lit(g)) if number is None else number.when(mine, F.lit(g))
+    return number
 
 
 def _look_inside(df: DataFrame, by: list[str], columns: list[str], groups: dict, wanted: list[dict]) -> dict:
     """Values at both ranks of every request whose bracket holds them."""
     if not wanted:
         return {}
-    below, kept = [], []
-    for j, w in enumerate(wanted):
-        v = F.col(f"`{w['feature']}`").cast("double")
-        mine = _group_is(by, groups[w["group"]]) & ~F.isnan(v)
-        below.append(F.count_if(mine & (v < w["low"])).alias(f"b_{j}"))
-        kept.append(F.when(mine & (v >= w["low"]) & (v <= w["high"]), F.struct(F.lit(j).alias("j"), v.alias("value"))))
-    inside = df.select(F.explode(F.filter(F.array(*kept), lambda s: s.isNotNull())).alias("hit")).select("hit.j", "hit.value")
+    # One slot per feature and share; its bounds are looked up by group number.
+    slots = sorted({(w["feature"], w["share"]) for w in wanted})
+    by_place = {_key(w): j for j, w in enumerate(wanted)}
+    numbered = df.withColumn("_group", _group_number(by, groups))
+    below, kept, hit_tests = [], [], []
+    for k, (feature, share) in enumerate(slots):
+        places = [by_place.get((g, feature, share)) for g in groups]
+
+        def per_group(name: str) -> Column:
+            return F.get(F.array(*[F.lit(None if j is None else float(wanted[j][name])) for j in places]), F.col("_group"))
+
+        place = F.get(F.array(*[F.lit(j).cast("int") for j in places]), F.col("_group"))
+        v = F.col(f"`{feature}`").cast("double")
+        real = ~F.isnan(v)
+        below.append(F.count_if(real & (v < per_group("low"))).alias(f"b_{k}"))
+        hit = F.coalesce(real & (v >= per_group("low")) & (v <= per_group("high")), F.lit(False))
+        hit_tests.append(hit)
+        kept.append(F.when(hit, F.struct(place.alias("j"), v.alias("value"))))
+    # Few rows fall in any bracket; they are found by plain comparisons before anything is built per row.
+    touched = numbered.where(reduce(or_, hit_tests)).select(F.explode(F.array(*kept)).alias("hit"))
+    inside = touched.where(F.col("hit").isNotNull()).select("hit.j", "hit.value")
     # Equal values collapse before the shuffle, so a value that fills a third of the table is one row.
-    counted = inside.groupBy("j", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(inside.groupBy("j", "value").agg(F.count(F.lit(1)).alias("n")), "brackets")
     ranked = running_counts(counted, ["j"], "value", ["n"])
-    totals = df.agg(*below).first()
-    spark = df.sparkSession
-    ranks = spark.createDataFrame(
-        [(j, w["first"] - totals[f"b_{j}"], w["second"] - totals[f"b_{j}"]) for j, w in enumerate(wanted)],
+    totals = {r["_group"]: r for r in numbered.groupBy("_group").agg(*below).collect()}
+
+    def rank_in_bracket(w: dict, name: str) -> int:
+        return w[name] - totals[w["group"]][f"b_{slots.index((w['feature'], w['share']))}"]
+
+    ranks = df.sparkSession.createDataFrame(
+        [(j, rank_in_bracket(w, "first"), rank_in_bracket(w, "second")) for j, w in enumerate(wanted)],
         "wanted_j int, first bigint, second bigint",
     )
+    # One row per request: groups x features x shares.
     hits = ranked.join(F.broadcast(ranks), F.col("j") == F.col("wanted_j"))
 
     def holds(rank: str) -> Column:
@@ -147,4 +174,3 @@ def _look_inside(df: DataFrame, by: list[str], columns: list[str], groups: dict,
         .collect()
     )
     return {_key(wanted[r["j"]]): (r["a"], r["b"]) for r in rows if r["a"] is not None and r["b"] is not None}
-

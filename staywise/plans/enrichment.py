@@ -13,6 +13,7 @@ from staywise.functions.text import parse_reply, profile_text, rule_note, rule_t
 from staywise.operators.clean import add_note_columns, enrichment_inputs, first_rows
 from staywise.operators.contracts import ENRICHMENT_INPUT, with_errors
 from staywise.operators.resume import is_pending, require_unique, with_finished
+from staywise.session import ship_code
 
 # A generator factory builds, once per Python worker, a function from profile texts to raw replies.
 GeneratorFactory = Callable[[], Callable[[list[str]], list[str | None]]]
@@ -22,6 +23,7 @@ _LOADED: dict[str, Callable] = {}
 
 def reply_column(factory: GeneratorFactory, key: str) -> Callable[[Column, Column], Column]:
     """A column function ``(profile, wanted) -> raw reply``; failures give NULL, unwanted rows are not sent."""
+    ship_code()
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

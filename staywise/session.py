@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", name: str = "staywise", **conf: str) -> SparkSession:
@@ -19,6 +22,7 @@ def local_session(cores: int | str = "*", name: str = "staywise", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -26,6 +30,21 @@ def local_session(cores: int | str = "*", name: str = "staywise", **conf: str) -
     return builder.getOrCreate()
 
 
+def ship_code(spark: SparkSession | None = None) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers import it there, wherever the driver was started.
+    """
+    spark = spark or SparkSession.active()
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="staywise-code-"), os.path.basename(package))
+        shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(f"{archive}.zip")
+        _SHIPPED.add(application)
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
@@ -63,3 +82,13 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan over all cores when it has fewer splits than cores.
+
+    A table in many row groups is read in parallel as it is and passes unchanged;
+    only a file too small to be split is moved, before the work that follows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

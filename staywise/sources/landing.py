@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staywise.session import ship_code
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +54,7 @@ def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def zip_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of every member of the zip files at ``path``; one task per archive."""
+    ship_code(spark)
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
     return archives.mapInPandas(_member_lines, "archive string, member string, line string")
 
