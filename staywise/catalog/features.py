@@ -184,7 +184,7 @@ def zero_vectors_when_down(spark, sf):
     def factory():
         raise ConnectionError("encoder is down")
 
-    encode = notes.encoder_column(factory, fv.EMBEDDING_WIDTH, "down")
+    encode = notes.encoder_column(factory, fv.EMBEDDING_WIDTH)
     rows = stand_in.table(spark, sf, "documents").select("doc_id", encode(F.col("text")).alias("e"))
     return rows.select(
         "doc_id",

@@ -19,34 +19,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.functions.plugins import built_once, factory_key
 from staywise.functions.text import text_or_empty
 from staywise.functions.vectors import as_vector, zero_array
 from staywise.session import ship_code, written
 
 EncoderFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
 
-_LOADED: dict[str, Callable] = {}
-
-
-def _worker_encoder(factory: EncoderFactory, key: str) -> Callable:
-    if key not in _LOADED:
-        _LOADED[key] = factory()
-    return _LOADED[key]
-
-
-def encoder_column(factory: EncoderFactory, width: int, key: str = "encoder") -> Callable[[Column], Column]:
+def encoder_column(factory: EncoderFactory, width: int) -> Callable[[Column], Column]:
     """A column function ``text -> struct<vector, available>``.
 
     A failing encoder does not fail the job: the rows of that Arrow batch get zero
     vectors and ``available = false``.
     """
     ship_code()
+    key = factory_key(factory)
 
     @F.pandas_udf("vector array<double>, available boolean")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             try:
-                vectors = np.asarray(_worker_encoder(factory, key)(texts.fillna("").tolist()), dtype=float)
+                vectors = np.asarray(built_once(factory, key)(texts.fillna("").tolist()), dtype=float)
                 if vectors.shape != (len(texts), width):
                     raise ValueError(f"expected {len(texts)} vectors of width {width}, got {vectors.shape}")
                 available = True

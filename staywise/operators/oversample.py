@@ -101,7 +101,8 @@ def _search(points: DataFrame, requests: DataFrame, k: int, sizes: dict[int, int
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"pid": [], "near": [], "copies": [], "distance": []})
+            none = np.array([], dtype=object)
+            return pd.DataFrame({"pid": none, "near": none, "copies": none.astype("int64"), "distance": none.astype(float)})
         have, ids = np.stack(left["x"].to_numpy()), left["pid"].to_numpy()
         place_of = pd.Index(ids)
         copies = left["copies"].to_numpy()
@@ -173,9 +174,10 @@ def nearest_neighbours(points: DataFrame, requests: DataFrame, k: int, seed: int
                 visit = (lower - slack <= part["bound"].to_numpy()[:, None]) & np.isfinite(radius)[None, :]
                 visit[np.arange(len(part)), part["cell"].to_numpy()] = False
                 rows, cols = np.nonzero(visit)
-                yield pd.DataFrame(
-                    {"pid": part["pid"].to_numpy()[rows], "x": [x[i] for i in rows], "cell": cols.astype("int32")}
-                )
+                if len(rows):
+                    yield pd.DataFrame(
+                        {"pid": part["pid"].to_numpy()[rows], "x": [x[i] for i in rows], "cell": cols.astype("int32")}
+                    )
 
     more = bounded.select("pid", "x", "cell", "bound").mapInPandas(others, "pid string, x array<double>, cell int")
     away = _search(placed, written(more, "visits"), k, sizes)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.functions.plugins import built_once, factory_key
 from staywise.functions.text import parse_reply, profile_text, rule_note, rule_tag
 from staywise.operators.clean import add_note_columns, enrichment_inputs, first_rows
 from staywise.operators.contracts import ENRICHMENT_INPUT, with_errors
@@ -18,12 +19,11 @@ from staywise.session import ship_code
 # A generator factory builds, once per Python worker, a function from profile texts to raw replies.
 GeneratorFactory = Callable[[], Callable[[list[str]], list[str | None]]]
 
-_LOADED: dict[str, Callable] = {}
 
-
-def reply_column(factory: GeneratorFactory, key: str) -> Callable[[Column, Column], Column]:
+def reply_column(factory: GeneratorFactory) -> Callable[[Column, Column], Column]:
     """A column function ``(profile, wanted) -> raw reply``; failures give NULL, unwanted rows are not sent."""
     ship_code()
+    key = factory_key(factory)
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -32,9 +32,7 @@ def reply_column(factory: GeneratorFactory, key: str) -> Callable[[Column, Colum
             chosen = wanted.fillna(False).astype(bool)
             if chosen.any():
                 try:
-                    if key not in _LOADED:
-                        _LOADED[key] = factory()
-                    replies[chosen] = _LOADED[key](profiles[chosen].tolist())
+                    replies[chosen] = built_once(factory, key)(profiles[chosen].tolist())
                 except Exception:
                     replies[chosen] = None
             yield replies
@@ -58,7 +56,7 @@ def generate_notes(
     open_rows = F.col("_wanted")
     for name, factory in (("primary", primary), ("secondary", secondary)):
         if factory is not None:
-            table = table.withColumn(f"_{name}", reply_column(factory, name)(profile_text(), open_rows))
+            table = table.withColumn(f"_{name}", reply_column(factory)(profile_text(), open_rows))
             table = table.withColumn(f"_{name}", parse_reply(F.col(f"_{name}")))
             tiers.append((name, F.col(f"_{name}")))
             open_rows = open_rows & F.col(f"_{name}").isNull()
@@ -88,6 +86,7 @@ def enrich_pending(
 
     A narrow plan: no shuffle after the resume join. Adds ``source`` (NULL: not generated).
     """
+    table = add_note_columns(table)
     names = table.columns
     checked = with_errors(_as_inputs(table), ENRICHMENT_INPUT)
     wanted = is_pending() & (F.size("errors") == 0)

@@ -49,7 +49,9 @@ def read_csv(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(header="true", quote='"', escape='"').csv(path)
+    """Quotes are doubled and blanks kept, so a field reads back as it was."""
+    kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode(mode).options(header="true", quote='"', escape='"', **kept).csv(path)
 
 
 def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame | None, str]:
