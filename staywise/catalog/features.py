@@ -12,7 +12,7 @@ from staywise.functions.vectors import as_vector
 from staywise.operators import notes, oversample, preprocess, splits
 from staywise.plans import stand_in
 from staywise.plans.feature_build import build_features, wide_features
-from staywise.session import new_folder, written
+from staywise.session import new_folder, spread, written
 from staywise.sources import tables
 
 
@@ -171,9 +171,9 @@ def feature_table_splits(spark, sf):
 @query("note_vectors")
 def note_vectors(spark, sf):
     """Reduced vectors of whole documents."""
-    documents = stand_in.table(spark, sf, "documents")
+    documents = spread(stand_in.table(spark, sf, "documents").select("doc_id", "text"))
     fitted = notes.fit_notes(documents.select(F.col("text").alias(fv.NOTE)))
-    return fitted.apply(documents.select("doc_id", "text"), "text", "embedding").select("doc_id", "embedding")
+    return fitted.apply(documents, "text", "embedding").select("doc_id", "embedding")
 
 
 @query(

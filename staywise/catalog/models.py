@@ -15,7 +15,7 @@ from staywise.catalog.registry import query
 from staywise.catalog.sql_views import CUSTOMERS, ENRICHED
 from staywise.operators import attribution
 from staywise.operators.clean import display_scores
-from staywise.operators.contracts import SCORE_RESPONSE, with_errors
+from staywise.operators.contracts import EVALUATION_ROW, SCORE_RESPONSE, with_errors
 from staywise.plans import stand_in
 from staywise.plans.evaluation import evaluate
 from staywise.plans.feature_build import FeatureBuild, build_features
@@ -103,6 +103,17 @@ def late_fusion_report(spark, sf):
     return metrics
 
 
+@query(
+    "evaluation_row_errors",
+    "SELECT unnest(['structured_baseline', 'nlp_baseline', 'late_fusion_stacked']) AS run, '' AS errors",
+)
+def evaluation_row_errors(spark, sf):
+    """The report of the trained model keeps its own contract."""
+    metrics, _ = evaluate(built(spark, sf).rows, trained(spark, sf))
+    checked = with_errors(metrics, EVALUATION_ROW)
+    return checked.select("run", F.array_join("errors", "; ").alias("errors"))
+
+
 @query("late_fusion_confusion")
 def late_fusion_confusion(spark, sf):
     _, confusion = evaluate(built(spark, sf).rows, trained(spark, sf))

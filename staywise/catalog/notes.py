@@ -89,7 +89,7 @@ def always_down():
 def tiered_generation(spark, sf):
     """The primary generator is down, the secondary answers some, rules cover the rest."""
     done = generate_notes(stand_in.customers(spark, sf), F.lit(True), always_down, answer_short_profiles)
-    return done.select(fv.ID, "source", F.col("generated.ticket_note"), F.col("generated.primary_sentiment_tag"))
+    return done.select(fv.ID, "source", F.col("new_note").alias(fv.NOTE), F.col("new_tag").alias(fv.TAG))
 
 
 @query("resume_merge", FINISHED + "SELECT customerID, md5(ticket_note) AS note_digest, primary_sentiment_tag FROM j")

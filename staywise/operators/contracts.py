@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +121,15 @@ def with_errors(df: DataFrame, contract: Contract) -> DataFrame:
     return df.withColumn("errors", F.filter(F.array(*messages), lambda m: m.isNotNull()))
 
 
+def keeps(df: DataFrame, contract: Contract) -> Column:
+    """True where a row breaks no rule: the verdict alone, as plain comparisons."""
+    if any(c not in df.columns for c in contract.required):
+        return F.lit(False)
+    complete = [F.col(c).isNotNull() for c in contract.required]
+    unbroken = [~F.coalesce(broken(), F.lit(False)) for _, broken in contract.rules]
+    return reduce(and_, [*complete, *unbroken])
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("errors") == 0).drop("errors")
 

@@ -23,6 +23,7 @@ from staywise import fixed_values as fv
 from staywise.session import ship_code, written
 
 _MAX_PIVOTS = 2048
+_CELL_ROWS = 1000
 _CHUNK_ROWS = 20000
 _SLICE_ROWS = 20000
 _BLOCK_DRAWS = 10000
@@ -36,9 +37,8 @@ def _unit(parts: list[Column], seed: int) -> Column:
 
 
 def choose_pivots(points: DataFrame, seed: int) -> np.ndarray:
-    """Points picked by hash; their number follows the square root of the table up to a fixed bound."""
-    n = points.count()
-    m = max(1, min(_MAX_PIVOTS, math.isqrt(n)))
+    """Points picked by hash: one for about a thousand points, up to a fixed number."""
+    m = max(1, min(_MAX_PIVOTS, points.count() // _CELL_ROWS))
     rows = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))).limit(m).collect()
     return np.array([r["x"] for r in rows], dtype=float)
 
@@ -156,7 +156,10 @@ def nearest_neighbours(points: DataFrame, requests: DataFrame, k: int, seed: int
         radius[r["cell"]] = r["radius"]
 
     asked = placed.join(requests.select("pid"), "pid", "left_semi")
-    home = written(_search(placed, asked.select("pid", "x", "cell"), k, sizes), "home")
+    home = _search(placed, asked.select("pid", "x", "cell"), k, sizes)
+    if len(sizes) == 1:
+        return _best_of(home, k)
+    home = written(home, "home")
     reach = home.groupBy("pid").agg(
         F.count(F.lit(1)).alias("found"), F.sort_array(F.collect_list("distance")).alias("distances")
     )

@@ -23,22 +23,28 @@ def is_pending() -> Column:
     return F.col(fv.NOTE).isNull() | F.col(fv.TAG).isNull()
 
 
-def with_finished(raw: DataFrame, finished: DataFrame) -> DataFrame:
-    """Left join by id as text; a match brings its note and tag even where they are NULL."""
+def with_finished(raw: DataFrame, finished: DataFrame, pending: str | None = None) -> DataFrame:
+    """Left join by id as text; a match brings its note and tag even where they are NULL.
+
+    ``pending`` names a flag column to add. It is worked out on either side before
+    the join, so a plan that only needs the flag does not move the notes.
+    """
     done = finished.select(
         F.col(fv.ID).cast("string").alias("_done_id"),
         F.col(fv.NOTE).alias("_done_note"),
         F.col(fv.TAG).alias("_done_tag"),
+        is_pending().alias("_done_open"),
     )
-    table = add_note_columns(raw)
+    table = add_note_columns(raw).withColumn("_raw_open", is_pending())
     joined = table.join(done, F.col(fv.ID).cast("string") == F.col("_done_id"), "left")
     matched = F.col("_done_id").isNotNull()
-    return joined.withColumns(
-        {
-            fv.NOTE: F.when(matched, F.col("_done_note")).otherwise(F.col(fv.NOTE)),
-            fv.TAG: F.when(matched, F.col("_done_tag")).otherwise(F.col(fv.TAG)),
-        }
-    ).drop("_done_id", "_done_note", "_done_tag")
+    picked = {
+        fv.NOTE: F.when(matched, F.col("_done_note")).otherwise(F.col(fv.NOTE)),
+        fv.TAG: F.when(matched, F.col("_done_tag")).otherwise(F.col(fv.TAG)),
+    }
+    if pending:
+        picked[pending] = F.when(matched, F.col("_done_open")).otherwise(F.col("_raw_open"))
+    return joined.withColumns(picked).drop("_done_id", "_done_note", "_done_tag", "_done_open", "_raw_open")
 
 
 def pending_rows(raw: DataFrame, finished: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from staywise import fixed_values as fv
 from staywise.functions.plugins import built_once, factory_key
 from staywise.functions.text import parse_reply, profile_text, rule_note, rule_tag
 from staywise.operators.clean import add_note_columns, enrichment_inputs, first_rows
-from staywise.operators.contracts import ENRICHMENT_INPUT, with_errors
+from staywise.operators.contracts import ENRICHMENT_INPUT, keeps
 from staywise.operators.resume import is_pending, require_unique, with_finished
 from staywise.session import ship_code
 
@@ -46,7 +46,7 @@ def generate_notes(
     primary: GeneratorFactory | None = None,
     secondary: GeneratorFactory | None = None,
 ) -> DataFrame:
-    """Add ``generated struct<ticket_note, primary_sentiment_tag>`` and ``source``.
+    """Add ``new_note``, ``new_tag`` and ``source``; all NULL where ``wanted`` is not true.
 
     The first usable reply wins: primary, then secondary, then the rules. Each tier
     is asked only for rows the earlier ones left open.
@@ -60,41 +60,39 @@ def generate_notes(
             table = table.withColumn(f"_{name}", parse_reply(F.col(f"_{name}")))
             tiers.append((name, F.col(f"_{name}")))
             open_rows = open_rows & F.col(f"_{name}").isNull()
-    rules = F.struct(rule_note().alias(fv.NOTE), rule_tag().alias(fv.TAG))
     source = F.lit("rules")
     for name, reply in reversed(tiers):
         source = F.when(reply.isNotNull(), F.lit(name)).otherwise(source)
-    table = table.withColumns(
-        {
-            "generated": F.when(F.col("_wanted"), F.coalesce(*[reply for _, reply in tiers], rules)),
-            "source": F.when(F.col("_wanted"), source),
-        }
-    )
+    note = F.coalesce(*[reply[fv.NOTE] for _, reply in tiers], rule_note())
+    tag = F.coalesce(*[reply[fv.TAG] for _, reply in tiers], rule_tag())
+    # Separate columns, so that a reader of the tags alone never builds the notes.
+    new = {"new_note": note, "new_tag": tag, "source": source}
+    table = table.withColumns({c: F.when(F.col("_wanted"), value) for c, value in new.items()})
     return table.drop("_wanted", *[f"_{name}" for name, _ in tiers])
 
 
-def _as_inputs(table: DataFrame) -> DataFrame:
-    """Input fields side by side with the original row, which is kept as it was."""
-    row = F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("_row")
-    return enrichment_inputs(table.select("*", row))
-
-
 def enrich_pending(
-    table: DataFrame, primary: GeneratorFactory | None = None, secondary: GeneratorFactory | None = None
+    table: DataFrame,
+    primary: GeneratorFactory | None = None,
+    secondary: GeneratorFactory | None = None,
+    pending: str | None = None,
 ) -> DataFrame:
     """Fill note and tag of pending rows; rows that break the input contract stay pending.
 
-    A narrow plan: no shuffle after the resume join. Adds ``source`` (NULL: not generated).
+    A narrow plan: no shuffle after the resume join. Adds ``source`` (NULL: not
+    generated). ``pending`` names a column that already tells which rows are.
     """
     table = add_note_columns(table)
-    names = table.columns
-    checked = with_errors(_as_inputs(table), ENRICHMENT_INPUT)
-    wanted = is_pending() & (F.size("errors") == 0)
-    done = generate_notes(checked, wanted, primary, secondary)
-    new = F.col("generated").isNotNull()
-    final = {c: F.col("_row")[c] for c in names}
-    final[fv.NOTE] = F.when(new, F.col("generated")[fv.NOTE]).otherwise(F.col("_row")[fv.NOTE])
-    final[fv.TAG] = F.when(new, F.col("generated")[fv.TAG]).otherwise(F.col("_row")[fv.TAG])
+    names = [c for c in table.columns if c != pending]
+    # The fields handed to a generator take the plain names; the row as it came is kept beside them.
+    original = {c: f"_raw_{c}" for c in names if c in fv.ENRICHMENT_DEFAULTS}
+    inputs = enrichment_inputs(table.withColumns({kept: F.col(c) for c, kept in original.items()}))
+    todo = F.col(pending) if pending else is_pending()
+    done = generate_notes(inputs, todo & keeps(inputs, ENRICHMENT_INPUT), primary, secondary)
+    generated = F.col("source").isNotNull()
+    final = {c: F.col(original.get(c, c)) for c in names}
+    final[fv.NOTE] = F.when(generated, F.col("new_note")).otherwise(F.col(fv.NOTE))
+    final[fv.TAG] = F.when(generated, F.col("new_tag")).otherwise(F.col(fv.TAG))
     return done.select(*[final[c].alias(c) for c in names], "source")
 
 
@@ -108,8 +106,8 @@ def enrich(
 ) -> DataFrame:
     """The enriched table: finished rows as they are, pending rows generated."""
     table = add_note_columns(first_rows(raw, limit))
-    if finished is not None:
-        if check_unique:
-            require_unique(finished)
-        table = with_finished(table, finished)
-    return enrich_pending(table, primary, secondary)
+    if finished is None:
+        return enrich_pending(table, primary, secondary)
+    if check_unique:
+        require_unique(finished)
+    return enrich_pending(with_finished(table, finished, "_pending"), primary, secondary, "_pending")

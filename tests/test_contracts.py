@@ -15,6 +15,8 @@ def test_customer_rows(make_customers):
     bad = {"SeniorCitizen": 5, "tenure": -1, "MonthlyCharges": -10.0}
     rows = make_customers({}, bad, {"TotalCharges": None}, {"gender": None}, {"MonthlyCharges": float("nan")}).coalesce(1)
     got = errors_of(rows, contracts.CUSTOMER_ROW)
+    verdicts = [r[0] for r in rows.select(contracts.keeps(rows, contracts.CUSTOMER_ROW)).collect()]
+    assert verdicts == [e == [] for e in got]
     assert got[0] == [] and got[2] == []
     assert got[1] == ["SeniorCitizen: outside 0..1", "tenure: outside 0..", "MonthlyCharges: outside 0.."]
     assert got[3] == ["gender: missing"]

@@ -156,8 +156,9 @@ def points_frame(spark, x):
     ).repartition(3)
 
 
-@pytest.mark.parametrize(("chunk", "slice_rows"), [(20000, 20000), (7, 5)])
+@pytest.mark.parametrize(("chunk", "slice_rows"), [(20000, 20000), (500, 500), (7, 5)])
 def test_neighbours_are_exact(spark, monkeypatch, chunk, slice_rows):
+    monkeypatch.setattr(oversample, "_CELL_ROWS", 1000 if chunk > 1000 else 14)
     monkeypatch.setattr(oversample, "_CHUNK_ROWS", chunk)
     monkeypatch.setattr(oversample, "_SLICE_ROWS", slice_rows)
     rng = np.random.default_rng(4)

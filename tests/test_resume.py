@@ -95,7 +95,7 @@ def test_tiers_in_order(make_customers):
     rows = make_customers({"customerID": "A"}, {"customerID": "B"}, {"customerID": "C"})
     first = replies({"A": GOOD % "from first", "B": "nonsense"})
     second = replies({"A": GOOD % "not used", "B": "```json\n" + GOOD % "from second" + "\n```"})
-    done = {r[fv.ID]: (r["source"], r["generated"][fv.NOTE]) for r in generate_notes(rows, F.lit(True), first, second).collect()}
+    done = {r[fv.ID]: (r["source"], r["new_note"]) for r in generate_notes(rows, F.lit(True), first, second).collect()}
     assert done["A"] == ("primary", "from first") and done["B"] == ("secondary", "from second")
     assert done["C"][0] == "rules" and done["C"][1].startswith("Cust C contacted")
     down = generate_notes(rows, F.lit(True), broken, broken).select("source").distinct().collect()
