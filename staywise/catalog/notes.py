@@ -21,7 +21,7 @@ from staywise.catalog.sql_views import (
     one_of_sql,
 )
 from staywise.catalog.data_checks import enriched
-from staywise.functions.text import parse_reply, profile_text, rule_note, rule_tag
+from staywise.functions.text import charges_text, parse_reply, profile_text, rule_note, rule_tag
 from staywise.operators import resume, tags
 from staywise.plans import stand_in
 from staywise.plans.enrichment import enrich, generate_notes
@@ -31,7 +31,8 @@ from staywise.streaming.jobs import enrich_stream
 
 @query("rule_notes", CUSTOMERS + f"SELECT customerID, {RULE_NOTE} AS ticket_note, {RULE_TAG} AS primary_sentiment_tag FROM v")
 def rule_notes(spark, sf):
-    return stand_in.customers(spark, sf).select(fv.ID, rule_note().alias(fv.NOTE), rule_tag().alias(fv.TAG))
+    priced = stand_in.customers(spark, sf).withColumn("charges", charges_text())
+    return priced.select(fv.ID, rule_note(F.col("charges")).alias(fv.NOTE), rule_tag().alias(fv.TAG))
 
 
 _PROFILE_VALUES = {
@@ -43,7 +44,7 @@ _PROFILE_VALUES = {
 
 @query("profile_text", CUSTOMERS + f"SELECT customerID, {filled(fv.PROFILE_TEMPLATE, _PROFILE_VALUES)} AS profile FROM v")
 def profile(spark, sf):
-    return stand_in.customers(spark, sf).select(fv.ID, profile_text().alias("profile"))
+    return stand_in.customers(spark, sf).select(fv.ID, profile_text(charges_text()).alias("profile"))
 
 
 _REPLY_SQL = f"""

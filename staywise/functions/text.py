@@ -55,11 +55,20 @@ def _first_match(results: list[tuple[Column | None, Column]]) -> Column:
     return chain
 
 
-def rule_note() -> Column:
-    """Note text from observable service fields; the label is never read."""
+def charges_text() -> Column:
+    """The monthly charges as printed in notes and profiles.
+
+    Best added as a column of its own: inside the branches of a CASE the rounding
+    would be compiled once per branch.
+    """
+    return money_text(F.col("MonthlyCharges"))
+
+
+def rule_note(charges: Column) -> Column:
+    """Note text from observable service fields and the printed charges; the label is never read."""
     values = {
         "customerID": F.col("customerID"),
-        "charges": money_text(F.col("MonthlyCharges")),
+        "charges": charges,
         "internet": F.col("InternetService"),
         "contract": F.col("Contract"),
         "tenure": F.col("tenure"),
@@ -71,11 +80,11 @@ def rule_tag() -> Column:
     return _first_match([(cond, F.lit(tag)) for cond, _, tag in _rules()])
 
 
-def profile_text() -> Column:
+def profile_text(charges: Column) -> Column:
     """The customer profile handed to a note generator."""
     values = {name: F.col(name) for name in fv.ENRICHMENT_DEFAULTS}
     values["senior"] = F.when(F.col("SeniorCitizen") == 1, F.lit("Yes")).otherwise(F.lit("No"))
-    values["charges"] = money_text(F.col("MonthlyCharges"))
+    values["charges"] = charges
     return fill(fv.PROFILE_TEMPLATE, values)
 
 

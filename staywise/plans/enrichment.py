@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 from staywise.functions.plugins import built_once, factory_key
-from staywise.functions.text import parse_reply, profile_text, rule_note, rule_tag
+from staywise.functions.text import charges_text, parse_reply, profile_text, rule_note, rule_tag
 from staywise.operators.clean import add_note_columns, enrichment_inputs, first_rows
 from staywise.operators.contracts import ENRICHMENT_INPUT, keeps
 from staywise.operators.resume import is_pending, require_unique, with_finished
@@ -51,24 +51,25 @@ def generate_notes(
     The first usable reply wins: primary, then secondary, then the rules. Each tier
     is asked only for rows the earlier ones left open.
     """
-    table = inputs.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
+    table = inputs.withColumns({"_wanted": F.coalesce(wanted, F.lit(False)), "_charges": charges_text()})
+    charges = F.col("_charges")
     tiers: list[tuple[str, Column]] = []
     open_rows = F.col("_wanted")
     for name, factory in (("primary", primary), ("secondary", secondary)):
         if factory is not None:
-            table = table.withColumn(f"_{name}", reply_column(factory)(profile_text(), open_rows))
+            table = table.withColumn(f"_{name}", reply_column(factory)(profile_text(charges), open_rows))
             table = table.withColumn(f"_{name}", parse_reply(F.col(f"_{name}")))
             tiers.append((name, F.col(f"_{name}")))
             open_rows = open_rows & F.col(f"_{name}").isNull()
     source = F.lit("rules")
     for name, reply in reversed(tiers):
         source = F.when(reply.isNotNull(), F.lit(name)).otherwise(source)
-    note = F.coalesce(*[reply[fv.NOTE] for _, reply in tiers], rule_note())
+    note = F.coalesce(*[reply[fv.NOTE] for _, reply in tiers], rule_note(charges))
     tag = F.coalesce(*[reply[fv.TAG] for _, reply in tiers], rule_tag())
     # Separate columns, so that a reader of the tags alone never builds the notes.
     new = {"new_note": note, "new_tag": tag, "source": source}
     table = table.withColumns({c: F.when(F.col("_wanted"), value) for c, value in new.items()})
-    return table.drop("_wanted", *[f"_{name}" for name, _ in tiers])
+    return table.drop("_wanted", "_charges", *[f"_{name}" for name, _ in tiers])
 
 
 def enrich_pending(

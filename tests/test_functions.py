@@ -38,7 +38,7 @@ def test_missing_stays_missing_when_rounded(spark):
 
 
 def notes_of(df):
-    return [tuple(r) for r in df.select(text.rule_note(), text.rule_tag()).collect()]
+    return [tuple(r) for r in df.select(text.rule_note(text.charges_text()), text.rule_tag()).collect()]
 
 
 def test_rules_take_the_first_match(make_customers):
@@ -60,7 +60,7 @@ def test_rules_take_the_first_match(make_customers):
 
 
 def test_profile_lists_every_field(make_customers):
-    profile = make_customers({"SeniorCitizen": 1}).select(text.profile_text()).first()[0]
+    profile = make_customers({"SeniorCitizen": 1}).select(text.profile_text(text.charges_text())).first()[0]
     assert profile.startswith("\nCustomer CRM Profile:\n- Customer ID     : 7590-VHVEG\n")
     assert "- Senior Citizen  : Yes\n" in profile and "- Monthly Charges : $85.50\n" in profile
     assert "Churn" not in profile and profile.endswith("for this customer.\n")
