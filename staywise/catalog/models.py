@@ -16,7 +16,6 @@ from staywise.catalog.sql_views import CUSTOMERS, ENRICHED
 from staywise.operators import attribution
 from staywise.operators.clean import display_scores
 from staywise.operators.contracts import EVALUATION_ROW, SCORE_RESPONSE, with_errors
-from staywise.plans import stand_in
 from staywise.plans.evaluation import evaluate
 from staywise.plans.feature_build import FeatureBuild, build_features
 from staywise.plans.scoring import Scorer, batch_totals, embed

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 from staywise.functions.numbers import nan_to_null, round_exact, to_number
-from staywise.functions.vectors import dense_array
 
 
 def quoted(name: str) -> Column:
@@ -131,7 +130,3 @@ def display_scores(scores: DataFrame) -> DataFrame:
 def first_rows(df: DataFrame, limit: int | None, key: str = fv.ID) -> DataFrame:
     """The first ``limit`` rows by ``key``; 0 or None keeps all."""
     return df.orderBy(key).limit(limit) if limit else df
-
-
-def dense_columns(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, dense_array(df, name))

@@ -163,8 +163,3 @@ def fit_notes(
     vectors = written(encoded.select("_encoded"), "vectors")
     pca, mean = fit_pca(vectors, "_encoded", components)
     return TextTransform(pca, mean, encoder, factory, width)
-
-
-def spread_vector(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
-    """An array column to one number column per element."""
-    return df.withColumns({n: F.col(vector)[i] for i, n in enumerate(names)}).drop(vector)

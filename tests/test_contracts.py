@@ -69,10 +69,10 @@ def gate_rows(spark, tenure=12, churn="No"):
 
 
 def test_gate_passes_and_fails(spark):
-    report = gates.run_gate(gate_rows(spark), gates.raw_suite(), "telco", "ingestion")
+    report = gates.run_gate(gate_rows(spark), gates.raw_suite(), "customers", "ingestion")
     assert report.count() == 5 and report.where("not success").count() == 0
-    with pytest.raises(gates.GateViolation, match="Dataset telco failed 2 expectations.") as caught:
-        gates.run_gate(gate_rows(spark, 500, "Maybe"), gates.raw_suite(), "telco", "ingestion")
+    with pytest.raises(gates.GateViolation, match="Dataset customers failed 2 expectations.") as caught:
+        gates.run_gate(gate_rows(spark, 500, "Maybe"), gates.raw_suite(), "customers", "ingestion")
     error = caught.value
     assert error.actual_value == [
         "expect_column_values_to_be_between on 'tenure'",

@@ -123,6 +123,12 @@ def test_cleaning_and_mapping(make_customers):
     assert clean.drop_missing(clean.coerce_numbers(make_customers({}, {"TotalCharges": " "}), ["TotalCharges"])).count() == 1
 
 
+def test_model_inputs_leave_out_what_leaks(make_customers):
+    table = make_customers({}).withColumns({fv.NOTE: F.lit("n"), fv.TAG: F.lit("Neutral")})
+    inputs = clean.model_inputs(table).columns
+    assert not {fv.ID, fv.TARGET, fv.TAG} & set(inputs) and fv.NOTE in inputs and len(inputs) == 20
+
+
 def test_scoring_projection_order(make_customers):
     row = clean.scoring_projection(make_customers({"TotalCharges": None}))
     assert row.columns == fv.SCORING_COLUMNS and len(row.columns) == 19 and row.first()["TotalCharges"] == ""
