@@ -36,6 +36,19 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def not_above(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are at or below ``value`` (null: 0), by binary search."""
+    listed = F.lit([int(b) for b in bounds]) if bounds else None
+
+    def search(lo: Column, step: int) -> Column:
+        if not step:
+            return lo
+        there = (lo + step <= len(bounds)) & (F.get(listed, lo + (step - 1)) <= value)
+        return bind(F.when(there, lo + step).otherwise(lo), lambda x: search(x, step >> 1))
+
+    return search(F.lit(0), 1 << (len(bounds).bit_length() - 1)) if bounds else F.lit(0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

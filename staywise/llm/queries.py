@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staywise.llm import quality_rules
+from staywise.llm import decontaminate, mixing, quality_rules, ring_shards, token_files
 from staywise.llm.common import QUERIES, query, table  # noqa: F401
+from staywise.session import new_folder
+
+
+def vocabulary(name: str) -> str:
+    """The file of a public tokenizer; the vocabularies are an installed package on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 @query("op6_quality_rules")
@@ -13,3 +22,40 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge(docs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    c = F.col("contamination")
+    return found.select(
+        "doc_id",
+        c["n_words"].alias("n_words"),
+        c["n_hit"].alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(c["items"]), ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    return token_files.token_index(spark, folder)
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.copies(mixing.with_size(table(spark, sf_dir, "documents")))
+    each = mix.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("rows"))))  # equal rows were one item
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op9_ring_shards")
+def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring_shards.assign(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
