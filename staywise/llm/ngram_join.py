@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.llm.common import slices, utf8
@@ -229,18 +229,36 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["u", "v"])
 
 
+def _document(key: str, text: str) -> Column:
+    """The document a row belongs to: its id, or for a null id a hash of its text."""
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string")))
+
+
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """A row per input row: key, n_shingles, component_id (least key reachable by links), n_links.
 
     ``n_links`` counts the verified links between different sets at the row's set: those that
     were needed to settle the components, not all that exist.
     """
+    known = _settled(docs, key, text, width, percent)
+    least = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return known.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), least.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps its least document, once."""
+    known = _settled(docs, key, text, width, percent)
+    first = known.filter(F.col("doc") == F.coalesce("root", "doc")).select(F.col("doc").alias("__doc")).distinct()
+    own = docs.withColumn("__doc", _document(key, text))
+    return own.join(first, "__doc").dropDuplicates(["__doc"]).select(*docs.columns)
+
+
+def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """A row per input row: doc_id, doc, n (features), root (least document of the component), component_id, n_links."""
     spark = docs.sparkSession
     ship_code(spark)
     body = F.col(text).cast("string")
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("doc"), F.xxhash64(body).alias("print"), body.alias("text")
-    )
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), _document(key, text).alias("doc"), F.xxhash64(body).alias("print"), body.alias("text"))
     named = "doc_id long, doc long, print long, n long, h1 long, h2 long"
     sets = written(rows.mapInArrow(partial(_fingerprints, width=width), named), "gram-sets")
     nodes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min(F.struct("doc", "print")).alias("from"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
@@ -297,11 +315,5 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").join(degree, "node", "left").select("h1", "h2", "component_id", "n_links")
-    full = sets.join(known, ["h1", "h2"], "left")
-    return full.select(
-        F.col("doc_id").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    known = rooted.join(least, "root").join(degree, "node", "left").select("h1", "h2", "root", "component_id", "n_links")
+    return sets.join(known, ["h1", "h2"], "left").select("doc_id", "doc", "n", "root", "component_id", "n_links")

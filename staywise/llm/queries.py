@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from staywise.llm import chat_log, decontaminate, license_scan, mixing, ngram_join, quality_rules, ring_shards, suffix_dedup, token_files
+from staywise.llm import block_labeller, chat_log, decontaminate, license_scan, mixing, ngram_join, quality_rules, ring_shards, suffix_dedup, token_files
 from staywise.llm.common import QUERIES, query, table  # noqa: F401
 from staywise.session import new_folder
 
@@ -73,6 +73,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+@query("op3_block_labeller")
+def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = block_labeller.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op4_chat_log")
 def op4_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
