@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from staywise.llm import block_labeller, chat_log, decontaminate, license_scan, mixing, ngram_join, quality_rules, ring_shards, suffix_dedup, token_files
+from staywise.llm import (
+    block_labeller,
+    chat_log,
+    decontaminate,
+    license_scan,
+    mixing,
+    ngram_join,
+    oracles,
+    quality_rules,
+    ring_shards,
+    suffix_dedup,
+    token_files,
+)
 from staywise.llm.common import QUERIES, query, table  # noqa: F401
 from staywise.session import new_folder
 
@@ -17,14 +29,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", oracles.QUALITY)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge(docs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op7_benchmark_decontamination")
+@query("op7_benchmark_decontamination", oracles.CONTAMINATION)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -61,9 +73,10 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op1_ngram_join")
+@query("op1_ngram_join", oracles.JOIN)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+    joined = ngram_join.join_components(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op2_suffix_dedup")
@@ -79,7 +92,7 @@ def op3_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-@query("op4_chat_log")
+@query("op4_chat_log", oracles.CHAT)
 def op4_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
@@ -102,7 +115,7 @@ def op4_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_license_scan")
+@query("op10_license_scan", oracles.LICENCES)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # The table has no paths: sources are the top folders, languages below them, a hundred folders below
