@@ -30,9 +30,7 @@ from staywise.streaming.monitors import suite_failure_rate
 
 
 def enriched(spark, sf):
-    return enrich(
-        stand_in.customers(spark, sf), stand_in.finished_notes(spark, sf), check_unique=False
-    ).drop("source")
+    return enrich(stand_in.customers(spark, sf), stand_in.finished_notes(spark, sf)).drop("source")
 
 
 @query("customer_view", FINISHED + "SELECT * EXCLUDE (primary_sentiment_tag) FROM j")

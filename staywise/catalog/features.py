@@ -10,9 +10,10 @@ from staywise.catalog.registry import query
 from staywise.catalog.sql_views import CUSTOMERS, ENRICHED
 from staywise.functions.vectors import as_vector
 from staywise.operators import notes, oversample, preprocess, splits
+from staywise.operators.clean import prefixed_columns
 from staywise.plans import stand_in
 from staywise.plans.feature_build import build_features, wide_features
-from staywise.session import new_folder, spread, written
+from staywise.session import new_folder, written
 from staywise.sources import tables
 
 
@@ -159,7 +160,7 @@ def feature_table_splits(spark, sf):
     parts = None
     for name in ("train", "val", "test"):
         part = tables.read_split(spark, path, name)
-        width = len([c for c in part.columns if c.startswith(fv.STRUCTURED_PREFIXES + fv.TEXT_PREFIXES)])
+        width = len(prefixed_columns(part, fv.STRUCTURED_PREFIXES + fv.TEXT_PREFIXES))
         counted = part.groupBy("split", fv.TARGET).agg(F.count(F.lit(1)).alias("n")).withColumn("features", F.lit(width).cast("long"))
         parts = counted if parts is None else parts.unionByName(counted)
     return parts
@@ -171,7 +172,7 @@ def feature_table_splits(spark, sf):
 @query("note_vectors")
 def note_vectors(spark, sf):
     """Reduced vectors of whole documents."""
-    documents = spread(stand_in.table(spark, sf, "documents").select("doc_id", "text"))
+    documents = stand_in.table(spark, sf, "documents").select("doc_id", "text")
     fitted = notes.fit_notes(documents.select(F.col("text").alias(fv.NOTE)))
     return fitted.apply(documents, "text", "embedding").select("doc_id", "embedding")
 
@@ -254,15 +255,16 @@ def smote_counts(spark, sf):
     "nearest_neighbours",
     """WITH d AS (SELECT a.vec_id AS vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance,
                         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS place
-                 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+                 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
        SELECT vec_id, place, round(distance, 5) AS distance FROM d WHERE place <= 5""",
 )
 def nearest_neighbours(spark, sf):
-    """The five exact neighbour distances of every vector."""
+    """The five exact neighbour distances of every vector whose id is divisible by 50, among all vectors."""
     points = stand_in.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("pid"), F.col("embedding").cast("array<double>").alias("x"), F.lit(1).cast("long").alias("copies")
     )
-    near = oversample.nearest_neighbours(points, points.select("pid"), 5)
+    asked = points.where(F.col("pid").cast("long") % 50 == 0).select("pid")
+    near = oversample.nearest_neighbours(points, asked, 5)
     listed = near.select(F.col("pid").cast("long").alias("vec_id"), F.posexplode("near").alias("at", "n"))
     return listed.select("vec_id", (F.col("at") + 1).cast("long").alias("place"), F.round("n.distance", 5).alias("distance"))
 

@@ -142,6 +142,8 @@ ENRICHMENT_DEFAULTS = {
 MISSING_TEXT_CELL = "nan"
 
 UPLOAD_DEFAULT_NOTE = "No note provided."
+UPLOAD_ABSENT = "Please upload a CSV file."
+UPLOAD_UNREADABLE = "Failed to read CSV: {}"
 FORM_DEFAULT_NOTE = "No note provided"
 
 # --- Fixed values: rule-based notes, in order of precedence ------------------------
@@ -269,3 +271,19 @@ SCORE_SHIFT_LIMIT = 0.05
 LEAKAGE_RATE = 0.99
 NOTE_DIVERSITY_FLOOR = 0.80
 REVIEW_SHARE = 0.10
+
+# --- Fixed values: the report of a broken gate -------------------------------------------
+
+GATE_BROKEN = "Dataset {} failed {} expectations."
+GATE_EXPECTED = "All expectations in {} must pass."
+
+# --- Parameters: what is refused beyond a bound, and bounded samples for fitting ----------
+
+#: Distinct values of a class column.
+MAX_CLASSES = 1000
+#: Distinct categories, over all columns that become dummy columns.
+MAX_CATEGORIES = 5000
+#: Groups whose quantiles are asked for at once.
+MAX_GROUPS = 1000
+#: Distinct minority points among which oversampling looks for neighbours.
+MAX_NEIGHBOUR_POINTS = 100_000

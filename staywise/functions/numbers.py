@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -19,6 +20,12 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def cell(df: DataFrame, name: str) -> Column:
+    """A column as gates and counts see it: NaN in a floating column is missing."""
+    c = F.col(f"`{name}`")
+    return nan_to_null(c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division as double; a zero denominator gives 0."""
     num, den = numerator.cast("double"), denominator.cast("double")
@@ -65,12 +72,22 @@ def round_exact(c: Column, digits: int) -> Column:
 
 
 def money_text(c: Column) -> Column:
-    """Two decimals without grouping, rounded like Python's ``%.2f``; for amounts below 2**46."""
+    """Two decimals without grouping, rounded like Python's ``%.2f``.
+
+    NaN and infinities print as ``nan``, ``inf`` and ``-inf``. From 2**62 on an amount is printed
+    from its shortest decimal form.
+    """
     number = c.cast("double")
-    cents = _scaled_integer(F.abs(number), 2)
+    huge = F.isnan(number) | (F.abs(number) >= F.lit(2.0**62))
+    magnitude = F.when(huge, 0.0).otherwise(F.abs(number))
+    units = F.floor(magnitude)
+    cents = _scaled_integer(magnitude - units, 2)
     sign = F.repeat(F.lit("-"), (number < 0).cast("int"))
-    whole = F.call_function("div", cents, F.lit(100)).cast("string")
-    return F.concat(sign, whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    whole = (units + F.call_function("div", cents, F.lit(100))).cast("string")
+    plain = F.concat(sign, whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    endless = F.concat(sign, F.lit("inf"))
+    large = F.when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), endless).otherwise(F.format_string("%.2f", number))
+    return F.when(huge, large).otherwise(plain)
 
 
 def at_least(probability: Column, threshold: float) -> Column:

@@ -24,9 +24,3 @@ def as_vector(c: Column) -> Column:
 
 def zero_array(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
-
-
-def add_vector(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Number columns gathered into one dense vector column."""
-    gathered = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
-    return df.withColumn(name, array_to_vector(gathered))

@@ -6,14 +6,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 
-# Columns can only be built while a session is active, so a rule holds a function.
-Rule = tuple[str, Callable[[], Column]]
+class Rule(NamedTuple):
+    """What a broken row is told, the columns it takes, and a test.
+
+    Columns can only be built while a session is active, so the test is a function.
+    """
+
+    message: str
+    columns: tuple[str, ...]
+    broken: Callable[[], Column]
 
 
 @dataclass(frozen=True)
@@ -37,15 +45,15 @@ def _range(column: str, low: float | None = None, high: float | None = None) ->
         return test
 
     bounds = f"{'' if low is None else low}..{'' if high is None else high}"
-    return f"{column}: outside {bounds}", broken
+    return Rule(f"{column}: outside {bounds}", (column,), broken)
 
 
 def _one_of(column: str, values: list[str]) -> Rule:
-    return f"{column}: not an allowed value", lambda: ~F.col(column).isin(values)
+    return Rule(f"{column}: not an allowed value", (column,), lambda: ~F.col(column).isin(values))
 
 
 def _lift_missing(column: str) -> Rule:
-    return f"{column}: missing", lambda: (F.col("run") == fv.RUN_ORDER[2]) & F.col(column).isNull()
+    return Rule(f"{column}: missing", ("run", column), lambda: (F.col("run") == fv.RUN_ORDER[2]) & F.col(column).isNull())
 
 
 _CUSTOMER_RANGES = (_range("SeniorCitizen", 0, 1), _range("tenure", 0), _range("MonthlyCharges", 0))
@@ -71,7 +79,7 @@ ENRICHMENT_INPUT = Contract(
 NOTE_OUTPUT = Contract(
     "note_output",
     (fv.NOTE, fv.TAG),
-    (("ticket_note: empty", lambda: F.length(fv.NOTE) < 1), _one_of(fv.TAG, fv.SENTIMENT_TAGS)),
+    (Rule("ticket_note: empty", (fv.NOTE,), lambda: F.length(fv.NOTE) < 1), _one_of(fv.TAG, fv.SENTIMENT_TAGS)),
 )
 
 SCORE_REQUEST = Contract(
@@ -92,8 +100,8 @@ def vector_contract(column: str = "embedding", width: str = "dim") -> Contract:
         "vector_table",
         (column, width),
         (
-            (f"{width}: not positive", lambda: F.col(width) <= 0),
-            (f"{column}: length is not {width}", lambda: F.size(column) != F.col(width)),
+            Rule(f"{width}: not positive", (width,), lambda: F.col(width) <= 0),
+            Rule(f"{column}: length is not {width}", (column, width), lambda: F.size(column) != F.col(width)),
         ),
     )
 
@@ -111,13 +119,15 @@ EVALUATION_ROW = Contract(
 
 
 def with_errors(df: DataFrame, contract: Contract) -> DataFrame:
-    """Add ``errors array<string>``; columns the contract does not name pass through."""
+    """Add ``errors array<string>``; columns the contract does not name pass through.
+
+    An absent column is one error of every row and silences only the rules that need it.
+    """
     present = [c for c in contract.required if c in df.columns]
     absent = [c for c in contract.required if c not in df.columns]
     messages = [F.lit(f"{c}: missing") for c in absent]
     messages += [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in present]
-    if not absent:
-        messages += [F.when(broken(), F.lit(message)) for message, broken in contract.rules]
+    messages += [F.when(r.broken(), F.lit(r.message)) for r in contract.rules if set(r.columns) <= set(df.columns)]
     return df.withColumn("errors", F.filter(F.array(*messages), lambda m: m.isNotNull()))
 
 
@@ -126,7 +136,7 @@ def keeps(df: DataFrame, contract: Contract) -> Column:
     if any(c not in df.columns for c in contract.required):
         return F.lit(False)
     complete = [F.col(c).isNotNull() for c in contract.required]
-    unbroken = [~F.coalesce(broken(), F.lit(False)) for _, broken in contract.rules]
+    unbroken = [~F.coalesce(r.broken(), F.lit(False)) for r in contract.rules]
     return reduce(and_, [*complete, *unbroken])
 
 

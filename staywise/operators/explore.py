@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 from staywise.operators.clean import coerce_numbers, collapse_redundant, drop_missing, map_binaries
+from staywise.functions.numbers import cell
 from staywise.operators.ranking import exact_quantiles
 from staywise.session import ship_code
 
@@ -35,9 +36,9 @@ def feature_class_counts(df: DataFrame, features: list[str], label: str = fv.TAR
 
 
 def missing_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, missing), one row per column from one aggregate."""
+    """(column, missing), one row per column from one aggregate; NaN is missing."""
     names = columns or df.columns
-    counted = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in names])
+    counted = df.agg(*[F.count_if(cell(df, c).isNull()).alias(c) for c in names])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("missing")) for c in names]
     return counted.select(F.inline(F.array(*cells)))
 
@@ -93,8 +94,12 @@ def drop_first_dummies(df: DataFrame, skip: list[str], keep: list[str] | None =
     return df.select(*(keep or []), *numbers, *dummies)
 
 
-def category_values(df: DataFrame, columns: list[str], limit: int = 5000) -> dict[str, list[str]]:
-    """Sorted distinct values per column. More than ``limit`` in all cannot become columns and is refused."""
+def category_values(df: DataFrame, columns: list[str], limit: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values per column. More than ``limit`` in all cannot become columns and is refused.
+
+    The default limit is ``fixed_values.MAX_CATEGORIES``.
+    """
+    limit = fv.MAX_CATEGORIES if limit is None else limit
     if not columns:
         return {}
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
@@ -165,12 +170,22 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """VIF of each column regressed on the others without intercept, from one Gram matrix."""
+    """VIF of each column regressed on the others without intercept, from one Gram matrix.
+
+    A column that the others determine has an infinite VIF; one that is zero throughout has none (NULL).
+    """
     names, shift, m = pair_moments(df, columns)
     gram = m["sp"] + shift[:, None] * m["s"].T + m["s"] * shift[None, :] + m["n"] * np.outer(shift, shift)
     scale = np.sqrt(np.diag(gram))
     scale = np.where(scale > 0, scale, 1.0)
-    inverse = np.linalg.pinv(gram / np.outer(scale, scale), hermitian=True)
-    values = np.diag(inverse) * np.diag(gram) / scale**2
-    rows = [(name, float(v)) for name, v in zip(names, values)]
+    present = np.diag(gram) > 0
+    values = np.full(len(names), np.nan)
+    if present.any():
+        # Sums over many rows carry rounding noise, so an eigenvalue this small is a dependency.
+        levels, vectors = np.linalg.eigh((gram / np.outer(scale, scale))[np.ix_(present, present)])
+        real = levels > 1e-10 * levels.max()
+        inverse = (vectors[:, real] ** 2 / levels[real]).sum(axis=1)
+        determined = (vectors[:, ~real] ** 2).sum(axis=1) > 1e-8
+        values[present] = np.where(determined, np.inf, inverse)
+    rows = [(name, None if np.isnan(v) else float(v)) for name, v in zip(names, values)]
     return df.sparkSession.createDataFrame(rows, "Feature string, VIF double").orderBy(F.desc("VIF"))

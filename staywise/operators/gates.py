@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.functions.numbers import cell
 from staywise.functions.text import failure_label
 
 REPORT_SCHEMA = (
@@ -25,9 +26,8 @@ class Expectation:
     values: tuple = ()
     mostly: float = 1.0
 
-    def broken(self) -> Column:
-        """True, false, or NULL where the cell is not judged."""
-        c = F.col(self.column)
+    def broken(self, c: Column) -> Column:
+        """True, false, or NULL where the cell ``c`` is not judged."""
         if self.kind == "expect_column_values_to_be_between":
             return self._outside(c)
         if self.kind == "expect_column_value_lengths_to_be_between":
@@ -57,10 +57,10 @@ class GateViolation(Exception):
     """A dataset broke its suite. Carries what a report needs."""
 
     def __init__(self, dataset_id: str, stage: str, suite: str, failures: list[str], failed: int, rows: int) -> None:
-        super().__init__(f"Dataset {dataset_id} failed {failed} expectations.")
+        super().__init__(fv.GATE_BROKEN.format(dataset_id, failed))
         self.dataset_id = dataset_id
         self.pipeline_stage = stage
-        self.expectation = f"All expectations in {suite} must pass."
+        self.expectation = fv.GATE_EXPECTED.format(suite)
         self.actual_value = failures
         self.row_count_affected = rows
 
@@ -112,8 +112,9 @@ def gate_report(df: DataFrame, suite: Suite) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, e in enumerate(suite.expectations):
         if e.column in df.columns:
-            judged = F.lit(True) if e.kind.endswith("not_be_null") else F.col(e.column).isNotNull()
-            aggregates += [F.count_if(judged).alias(f"judged_{i}"), F.count_if(judged & e.broken()).alias(f"broken_{i}")]
+            value = cell(df, e.column)
+            judged = F.lit(True) if e.kind.endswith("not_be_null") else value.isNotNull()
+            aggregates += [F.count_if(judged).alias(f"judged_{i}"), F.count_if(judged & e.broken(value)).alias(f"broken_{i}")]
     none_long, none_double = F.lit(None).cast("long"), F.lit(None).cast("double")
     rows = []
     for i, e in enumerate(suite.expectations):

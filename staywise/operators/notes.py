@@ -26,6 +26,11 @@ from staywise.session import ship_code, written
 
 EncoderFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
 
+
+class EncoderUnavailable(RuntimeError):
+    """The plugged-in encoder failed while fitting; only scoring goes on without it."""
+
+
 def encoder_column(factory: EncoderFactory, width: int) -> Callable[[Column], Column]:
     """A column function ``text -> struct<vector, available>``.
 
@@ -160,6 +165,10 @@ def fit_notes(
         encoder = default_encoder(width).fit(texts.select(tokens(F.col(f"`{note}`")).alias("_tokens")))
     encoded, _ = encode_notes(texts, note, encoder, factory, width)
     # The component fit passes over the vectors several times; the texts are encoded once.
-    vectors = written(encoded.select("_encoded"), "vectors")
+    vectors = written(encoded.select("_encoded", "nlp_available"), "vectors")
+    if factory is not None:
+        failed = vectors.where(~F.col("nlp_available")).count()
+        if failed:
+            raise EncoderUnavailable(f"the encoder failed on {failed} notes; nothing is fitted on stand-in vectors")
     pca, mean = fit_pca(vectors, "_encoded", components)
     return TextTransform(pca, mean, encoder, factory, width)

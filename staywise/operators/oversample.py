@@ -1,12 +1,16 @@
 """Minority oversampling between nearest neighbours.
 
-Neighbours are exact. Distinct minority points are assigned to the nearest of a
-fixed number of pivots. A point first searches its own cell, which bounds its k-th
+Oversampling looks for neighbours among a bounded number of points, exactly while the
+class has no more, so its work grows with the rows that ask.
+
+``nearest_neighbours`` is exact among all points. Distinct points are assigned to the
+nearest of their pivots. A point first searches its own cell, which bounds its k-th
 distance; other cells are visited only where the triangle inequality cannot rule
 them out. Cells are split into chunks of bounded size, and the requests to a chunk
 into slices of bounded size, so neither a crowded cell nor a popular one ends up in
 one task. Distances are computed per chunk with numpy and only the best k per
-request leave the task.
+request leave the task. In many dimensions the inequality rules out little, so ask for
+a stated set of requests rather than for all points.
 """
 
 from __future__ import annotations
@@ -20,14 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.functions.vectors import dense_array
+from staywise.operators.splits import class_sizes
 from staywise.session import ship_code, written
 
-_MAX_PIVOTS = 2048
 _CELL_ROWS = 1000
 _CHUNK_ROWS = 20000
 _SLICE_ROWS = 20000
 _BLOCK_DRAWS = 10000
 _CELLS_AT_ONCE = 4_000_000
+_BROADCAST_BYTES = 256 << 20
 
 
 def _unit(parts: list[Column], seed: int) -> Column:
@@ -37,8 +43,8 @@ def _unit(parts: list[Column], seed: int) -> Column:
 
 
 def choose_pivots(points: DataFrame, seed: int) -> np.ndarray:
-    """Points picked by hash: one for about a thousand points, up to a fixed number."""
-    m = max(1, min(_MAX_PIVOTS, points.count() // _CELL_ROWS))
+    """Points picked by hash: one for about a thousand points."""
+    m = max(1, points.count() // _CELL_ROWS)
     rows = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))).limit(m).collect()
     return np.array([r["x"] for r in rows], dtype=float)
 
@@ -78,7 +84,7 @@ def _search(points: DataFrame, requests: DataFrame, k: int, sizes: dict[int, int
     chunks = {cell: max(1, math.ceil(n / _CHUNK_ROWS)) for cell, n in sizes.items()}
     asked = {r["cell"]: r["n"] for r in requests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     slices = {cell: max(1, math.ceil(asked.get(cell, 0) / _SLICE_ROWS)) for cell in sizes}
-    # One row per pivot, so at most 2048.
+    # One row per pivot: a thousandth of the points, which are ``max_points`` at most.
     grid = F.broadcast(
         spark.createDataFrame([(c, chunks[c], slices[c]) for c in sizes], "grid_cell int, chunks int, slices int")
     )
@@ -178,15 +184,52 @@ def nearest_neighbours(points: DataFrame, requests: DataFrame, k: int, seed: int
                 visit[np.arange(len(part)), part["cell"].to_numpy()] = False
                 rows, cols = np.nonzero(visit)
                 if len(rows):
-                    yield pd.DataFrame(
-                        {"pid": part["pid"].to_numpy()[rows], "x": [x[i] for i in rows], "cell": cols.astype("int32")}
-                    )
+                    yield pd.DataFrame({"pid": part["pid"].to_numpy()[rows], "cell": cols.astype("int32")})
 
-    more = bounded.select("pid", "x", "cell", "bound").mapInPandas(others, "pid string, x array<double>, cell int")
-    away = _search(placed, written(more, "visits"), k, sizes)
+    more = bounded.select("pid", "x", "cell", "bound").mapInPandas(others, "pid string, cell int")
+    visits = written(more, "visits").join(asked.select("pid", "x"), "pid")
+    away = _search(placed, visits, k, sizes)
     return _best_of(home.unionByName(away), k)
 
 
+def neighbours_among(points: DataFrame, requests: DataFrame, k: int, max_points: int, seed: int = fv.SEED) -> DataFrame:
+    """As ``nearest_neighbours``, but among at most ``max_points`` points, the first in a seeded order.
+
+    Up to that many points the result is exact. Beyond, neighbours are the nearest of a
+    sample, so the work grows with the requests alone. The sample is broadcast; its size is
+    checked against ``_BROADCAST_BYTES``.
+    """
+    spark = points.sparkSession
+    ship_code(spark)
+    order = F.md5(F.concat(F.lit(f"near-{seed}:"), F.col("pid").cast("string")))
+    taken = points.orderBy(order, "pid").limit(max_points).collect()
+    have = np.array([r["x"] for r in taken], dtype=float).reshape(len(taken), -1)
+    if have.nbytes > _BROADCAST_BYTES:
+        raise ValueError(f"{len(taken)} neighbour points take {have.nbytes} bytes; lower max_points")
+    shared = spark.sparkContext.broadcast((have, np.array([r["pid"] for r in taken], dtype=object), np.array([r["copies"] for r in taken])))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, ids, copies = shared.value
+        place_of = pd.Index(ids)
+        for batch in batches:
+            for part in _slices(batch, max(1, len(ids))):
+                d = _distances(np.stack(part["x"].to_numpy()), have)
+                own = place_of.get_indexer(part["pid"].to_numpy())
+                present = np.nonzero(own >= 0)[0]
+                d[present, own[present]] = np.inf
+                keep = min(k, d.shape[1])
+                near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable"), axis=1)
+                dist = np.take_along_axis(d, near, axis=1)
+                found = [
+                    [(float(e), ids[j], int(copies[j])) for e, j in zip(row, places) if np.isfinite(e)] for row, places in zip(dist, near)
+                ]
+                yield pd.DataFrame({"pid": part["pid"].to_numpy(), "near": found})
+
+    asked = points.join(requests.select("pid"), "pid", "left_semi").select("pid", "x")
+    return asked.mapInPandas(nearest, "pid string, near array<struct<distance: double, near: string, copies: bigint>>")
+
+
 def smote(
     df: DataFrame,
     features: str = "features",
@@ -194,16 +237,17 @@ def smote(
     id_column: str = fv.ID,
     neighbours: int = fv.SMOTE_NEIGHBOURS,
     seed: int = fv.SEED,
+    max_points: int = fv.MAX_NEIGHBOUR_POINTS,
 ) -> DataFrame:
     """Originals plus synthetic minority rows until all classes are equal.
 
-    ``features`` is ``array<double>``. Each synthetic row is ``x + u * (near - x)`` with
+    ``features`` is an array or a vector. Neighbours are looked for among ``max_points``
+    distinct minority points at most (see ``neighbours_among``). Each synthetic row is ``x + u * (near - x)`` with
     ``u`` in [0, 1) and ``near`` one of the ``neighbours`` nearest points of the same class.
     Adds ``synthetic boolean``; a synthetic row has a NULL id.
     """
-    sizes = {r[0]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()}
-    if len(sizes) > 1000:
-        raise ValueError(f"{label} has more than 1000 values")
+    df = df.withColumn(features, dense_array(df, features))
+    sizes = class_sizes(df, label)
     top = max(sizes.values(), default=0)
     result = df.select(F.col(id_column), F.col(features), F.col(label)).withColumn("synthetic", F.lit(False))
     for value, n in sizes.items():
@@ -211,7 +255,7 @@ def smote(
             continue
         if n <= neighbours:
             raise ValueError(f"class {value!r} has {n} rows; {neighbours} neighbours need more")
-        new = _synthesise(df.where(F.col(label) == F.lit(value)).select(id_column, features), n, top - n, neighbours, seed)
+        new = _synthesise(df.where(F.col(label) == F.lit(value)).select(id_column, features), n, top - n, neighbours, seed, max_points)
         rows = new.select(
             F.lit(None).cast(df.schema[id_column].dataType).alias(id_column),
             F.col("x").alias(features),
@@ -222,7 +266,7 @@ def smote(
     return result
 
 
-def _synthesise(minority: DataFrame, n: int, wanted: int, k: int, seed: int) -> DataFrame:
+def _synthesise(minority: DataFrame, n: int, wanted: int, k: int, seed: int, max_points: int) -> DataFrame:
     """``wanted`` synthetic points from ``n`` minority rows."""
     id_column, features = minority.columns
     # Identical rows are one point with a multiplicity: copies are each other's neighbours at
@@ -234,7 +278,7 @@ def _synthesise(minority: DataFrame, n: int, wanted: int, k: int, seed: int) ->
     plan = _draws(points, n, wanted, seed)
     # Points with more than k copies have only copies as neighbours and need no search.
     search = plan.where(F.col("copies") <= k).select("pid")
-    near = nearest_neighbours(points, search, k, seed)
+    near = neighbours_among(points, search, k, max_points, seed)
     # A neighbour counts as often as it has copies; more than k of them make no difference.
     listed = F.flatten(F.transform("near", lambda e: F.array_repeat(e["near"], F.least(e["copies"], F.lit(k)).cast("int"))))
     choices = near.select("pid", listed.alias("others"))
@@ -266,19 +310,23 @@ def _draws(points: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
     """How many synthetic rows start from each point; the total is exactly ``wanted``.
 
     Every row gets wanted // n; the remaining ones go to the rows first in a seeded
-    order, found by bucket totals so that only one bucket is ranked.
+    order. Bucket totals tell in which bucket that order is cut, and only its points
+    are ranked, without their features.
     """
     base, extra = divmod(wanted, n)
-    keyed = points.withColumn("order", F.md5(F.concat(F.lit(f"draw-{seed}:"), "pid"))).withColumn(
-        "bucket", F.substring("order", 1, 3)
-    )
-    running = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    per_bucket = keyed.groupBy("bucket").agg(F.sum("copies").alias("rows"))
+    order = F.md5(F.concat(F.lit(f"draw-{seed}:"), "pid"))
+    keyed = points.withColumn("bucket", F.substring(order, 1, 3))
     # At most 4096 buckets.
-    upto = per_bucket.withColumn("start", F.sum("rows").over(running) - F.col("rows"))
-    within = Window.partitionBy("bucket").orderBy("order", "pid")
-    cut = F.broadcast(upto.select("bucket", "start"))
-    ranked = keyed.join(cut, "bucket").withColumn("first", F.col("start") + F.sum("copies").over(within) - F.col("copies"))
-    bonus = F.least(F.col("copies"), F.greatest(F.lit(0), F.lit(extra) - F.col("first")))
-    draws = F.col("copies") * base + bonus
-    return ranked.select("pid", "x", "copies", draws.alias("draws")).where("draws > 0")
+    totals = sorted(keyed.groupBy("bucket").agg(F.sum("copies").alias("rows")).collect())
+    cut, left = "", extra
+    for bucket, rows in totals:
+        if rows > left:
+            cut = bucket
+            break
+        left -= rows
+    inside = keyed.where(F.col("bucket") == cut).select("pid", "copies", order.alias("order"))
+    upto = F.sum("copies").over(Window.partitionBy(F.lit(0)).orderBy("order", "pid"))
+    part = inside.select(F.col("pid").alias("cut_pid"), F.least("copies", F.greatest(F.lit(0), F.lit(left) - upto + F.col("copies"))).alias("part"))
+    placed = keyed.join(part, F.col("pid") == F.col("cut_pid"), "left")
+    bonus = F.when(F.col("bucket") < cut, F.col("copies")).otherwise(F.coalesce("part", F.lit(0)))
+    return placed.select("pid", "x", "copies", (F.col("copies") * base + bonus).alias("draws")).where("draws > 0")

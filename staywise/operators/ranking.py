@@ -9,21 +9,22 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staywise import fixed_values as fv
 from staywise.session import written
 
-_RANGES = 256
-
-
-def running_counts(df: DataFrame, by: list[str], order: str, weights: list[str], ranges: int = _RANGES) -> DataFrame:
+def running_counts(df: DataFrame, by: list[str], order: str, weights: list[str], ranges: int | None = None) -> DataFrame:
     """Add ``before_<w>``: the total of weight ``w`` over smaller ``order`` values in the same group.
 
     ``order`` must be a number and unique within a group (aggregate first). Values
     are cut into ranges of similar size; range totals give the offsets, and only
-    the rows of one range are sorted together.
+    the rows of one range are sorted together. There are four ranges for each of the
+    session's shuffle partitions unless ``ranges`` says otherwise, so they grow as a
+    cluster is set up for more data.
     """
+    ranges = ranges or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / ranges for i in range(1, ranges)]
     # Only the balance of the ranges depends on the sketch, so a coarse one will do.
-    found = df.agg(F.percentile_approx(order, shares, 1000).alias("q")).first()["q"] or []
+    found = df.agg(F.percentile_approx(order, shares, max(1000, 4 * ranges)).alias("q")).first()["q"] or []
     inner = sorted({float(q) for q in found if abs(q) != float("inf")})
     splits = [-float("inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(df)
@@ -54,7 +55,7 @@ def exact_quantiles(
     counts what lies below each bracket and looks only at values inside it. The
     sketch's error only decides the bracket's width: the count below shows whether
     the rank is really inside, and a bracket that missed is searched again in full.
-    ``by`` must have few values: the brackets are carried as literals.
+    ``by`` must have few values, ``MAX_GROUPS`` at most: the brackets are carried as literals.
     """
     by = by or []
     # A margin of three times the sketch's nominal rank error on both sides.
@@ -70,7 +71,10 @@ def exact_quantiles(
             F.max(v).alias(f"hi_{i}"),
             F.percentile_approx(v, probes, accuracy).alias(f"q_{i}"),
         ]
-    sketches = df.groupBy(*by).agg(*aggregates).collect() if by else df.agg(*aggregates).collect()
+    sketched = df.groupBy(*by).agg(*aggregates).limit(fv.MAX_GROUPS + 1) if by else df.agg(*aggregates)
+    sketches = sketched.collect()
+    if len(sketches) > fv.MAX_GROUPS:
+        raise ValueError(f"more than {fv.MAX_GROUPS} groups of {by}")
 
     wanted, results = [], {}
     for g, row in enumerate(sketches):

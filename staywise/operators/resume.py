@@ -13,8 +13,14 @@ class DuplicateIds(ValueError):
     """The finished side holds an id more than once, so a lookup would be ambiguous."""
 
 
+def repeated_ids(df: DataFrame, key: str = fv.ID) -> DataFrame:
+    """(id, n) of the ids that occur more than once, as text; a missing id matches nothing and is left out."""
+    ids = df.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull())
+    return ids.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def require_unique(df: DataFrame, key: str = fv.ID) -> None:
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    repeated = repeated_ids(df, key).limit(1).collect()
     if repeated:
         raise DuplicateIds(f"{key} {repeated[0][0]!r} occurs {repeated[0]['n']} times")
 
@@ -26,9 +32,11 @@ def is_pending() -> Column:
 def with_finished(raw: DataFrame, finished: DataFrame, pending: str | None = None) -> DataFrame:
     """Left join by id as text; a match brings its note and tag even where they are NULL.
 
+    Finished ids must be unique, or rows would multiply: ``DuplicateIds`` otherwise.
     ``pending`` names a flag column to add. It is worked out on either side before
     the join, so a plan that only needs the flag does not move the notes.
     """
+    require_unique(finished)
     done = finished.select(
         F.col(fv.ID).cast("string").alias("_done_id"),
         F.col(fv.NOTE).alias("_done_note"),
@@ -54,7 +62,8 @@ def pending_rows(raw: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def write_back(table: DataFrame, results: DataFrame) -> DataFrame:
-    """Put new notes into pending rows; rows without a result stay pending."""
+    """Put new notes into pending rows; rows without a result stay pending. Result ids must be unique."""
+    require_unique(results)
     new = results.select(
         F.col(fv.ID).cast("string").alias("_new_id"), F.col(fv.NOTE).alias("_new_note"), F.col(fv.TAG).alias("_new_tag")
     )

@@ -52,10 +52,10 @@ class Cuts:
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class. A label is a small enumeration; anything else is refused."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError(f"{label} has more than 1000 values and cannot stratify")
+    """Rows per class. A label is a small enumeration; more than ``MAX_CLASSES`` values are refused."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(fv.MAX_CLASSES + 1).collect()
+    if len(rows) > fv.MAX_CLASSES:
+        raise ValueError(f"{label} has more than {fv.MAX_CLASSES} values and cannot stratify")
     return {r[0]: r["n"] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0]))}
 
 

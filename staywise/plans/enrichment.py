@@ -13,7 +13,7 @@ from staywise.functions.plugins import built_once, factory_key
 from staywise.functions.text import charges_text, parse_reply, profile_text, rule_note, rule_tag
 from staywise.operators.clean import add_note_columns, enrichment_inputs, first_rows
 from staywise.operators.contracts import ENRICHMENT_INPUT, keeps
-from staywise.operators.resume import is_pending, require_unique, with_finished
+from staywise.operators.resume import is_pending, with_finished
 from staywise.session import ship_code
 
 # A generator factory builds, once per Python worker, a function from profile texts to raw replies.
@@ -103,12 +103,9 @@ def enrich(
     limit: int | None = None,
     primary: GeneratorFactory | None = None,
     secondary: GeneratorFactory | None = None,
-    check_unique: bool = True,
 ) -> DataFrame:
-    """The enriched table: finished rows as they are, pending rows generated."""
+    """The enriched table: finished rows as they are, pending rows generated; finished ids must be unique."""
     table = add_note_columns(first_rows(raw, limit))
     if finished is None:
         return enrich_pending(table, primary, secondary)
-    if check_unique:
-        require_unique(finished)
     return enrich_pending(with_finished(table, finished, "_pending"), primary, secondary, "_pending")

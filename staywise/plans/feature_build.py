@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.operators.clean import model_inputs
 from staywise.operators.notes import EncoderFactory, TextTransform, fit_notes
 from staywise.operators.preprocess import StructuredTransform, fit_structured
 from staywise.operators.splits import stratified_split
@@ -40,7 +41,7 @@ def build_features(
     """The diagnostic tag never reaches a feature; every statistic comes from the training split."""
     split = stratified_split(enriched.drop(*fv.DIAGNOSTIC_COLUMNS), seed=seed)
     train = split.where(F.col("split") == "train")
-    structured = fit_structured(train)
+    structured = fit_structured(model_inputs(train))
     text = fit_notes(train, components=components, width=width, factory=factory)
     rows = transform_rows(split, structured, text, [fv.ID, fv.TARGET, "split"])
     return FeatureBuild(rows, structured, text)

@@ -82,13 +82,3 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a file scan over all cores when it has fewer splits than cores.
-
-    A table in many row groups is read in parallel as it is and passes unchanged;
-    only a file too small to be split is moved, before the work that follows.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

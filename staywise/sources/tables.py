@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from staywise import fixed_values as fv
 from staywise.functions.numbers import to_number
+from staywise.operators.clean import default_note_column
 from staywise.sources.schema import struct_of
 
 
@@ -19,7 +20,11 @@ def missing_to_null(c: Column) -> Column:
 
 def _typed(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.LongType):
-        return F.coalesce(F.trim(c).try_cast("long"), to_number(c).try_cast("long"))
+        # A fraction has no place in a whole-number column: it is missing, not cut.
+        number = to_number(c)
+        return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("long")).otherwise(
+            F.when(number == F.floor(number), number.try_cast("long"))
+        )
     if isinstance(kind, T.DoubleType):
         return to_number(c)
     return c
@@ -55,16 +60,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame | None, str]:
-    """Read a CSV offered for scoring; an unreadable one gives a message, not an exception."""
+    """Read a CSV offered for scoring; an unreadable one gives a message, not an exception.
+
+    Notes may hold quotes and line breaks.
+    """
     if not path:
-        return None, "Please upload a CSV file."
+        return None, fv.UPLOAD_ABSENT
     try:
-        table = read_csv(spark, path, {**fv.ENRICHED_COLUMNS})
+        table = read_csv(spark, path, {**fv.ENRICHED_COLUMNS}, free_text=True)
     except AnalysisException as error:
-        return None, f"Failed to read CSV: {error}"
-    if fv.NOTE not in table.columns:
-        table = table.withColumn(fv.NOTE, F.lit(fv.UPLOAD_DEFAULT_NOTE))
-    return table, ""
+        return None, fv.UPLOAD_UNREADABLE.format(error)
+    return default_note_column(table), ""
 
 
 def write_feature_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -105,7 +105,7 @@ def test_labels_and_titles(spark):
 
 
 def test_dense_forms(spark):
-    df = vectors.add_vector(spark.createDataFrame([(1.0, 2.0, [1.0, 0.0])], "a double, b double, x array<double>"), ["a", "b"], "v")
+    df = spark.createDataFrame([(1.0, 2.0, [1.0, 0.0])], "a double, b double, x array<double>").withColumn("v", vectors.as_vector(F.array("a", "b")))
     row = df.select(vectors.dense_array(df, "v"), vectors.dense_array(df, "x"), vectors.dense_array(df, "a"), vectors.zero_array(3)).first()
     assert [list(c) for c in row] == [[1.0, 2.0], [1.0, 0.0], [1.0], [0.0, 0.0, 0.0]]
     assert np.isclose(fv.DECISION_THRESHOLD, 0.5)

@@ -10,7 +10,7 @@ from staywise import fixed_values as fv
 from staywise.operators import gates
 from staywise.operators.clean import default_note_column, display_scores, normalise_form
 from staywise.plans.quality import gate_table
-from staywise.session import new_folder, spread, work_root, written
+from staywise.session import new_folder, work_root, written
 from staywise.sources import landing, reports, tables
 from staywise.streaming import monitors
 
@@ -96,13 +96,6 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(a), GreaterThan(a,4)]" in plan and "ReadSchema: struct<a:bigint>" in plan
 
 
-def test_spread_leaves_a_split_scan_alone(spark):
-    many = written(spark.range(8, numPartitions=8), "many")
-    assert spread(many) is many or many.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    one = written(spark.range(8, numPartitions=1), "one")
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_work_root_follows_the_session():
     class Conf(dict):
         pass
