@@ -20,12 +20,13 @@ from staywise.catalog.sql_views import (
 from staywise.functions.numbers import money_text, round_exact, to_number
 from staywise.operators import clean, contracts, gates
 from staywise.operators.explore import missing_counts
-from staywise.operators.resume import with_finished
+from staywise.operators.resume import repeated_ids, with_finished
 from staywise.plans import stand_in
 from staywise.plans.enrichment import enrich
 from staywise.plans.quality import gate_table
 from staywise.session import new_folder
 from staywise.sources import tables
+from staywise.sources.landing import land_once, path_exists
 from staywise.streaming.monitors import suite_failure_rate
 
 
@@ -318,6 +319,66 @@ def gate_run_files(spark, sf):
     return status.join(checks, "dataset")
 
 
+@query(
+    "gate_run_failure",
+    EVENT_RECORDS + f", g AS ({_raw_gate_sql('er')}) SELECT 'events' AS dataset, 'FAIL' AS status, "
+    "'Dataset events failed ' || count(*) FILTER (NOT success) || ' expectations.' AS message, "
+    "(SELECT count(*) FROM er) AS row_count_affected, false AS report_written, true AS absent_is_skipped FROM g",
+)
+def gate_run_failure(spark, sf):
+    """A failing gate leaves its status, no report, and says what failed; an absent table is skipped."""
+    root, path = new_folder(spark, "gate"), new_folder(spark, "raw")
+    suite = gates.raw_suite(schema=fv.RAW_COLUMNS)
+    skipped = gate_table(spark, path, suite, "events", "ingestion", root) is None
+    stand_in.event_records(spark, sf).write.parquet(path)
+    try:
+        gate_table(spark, path, suite, "events", "ingestion", root)
+        message, affected = "", 0
+    except gates.GateViolation as broken:
+        message, affected = str(broken), broken.row_count_affected
+    status = spark.read.schema("dataset string, status string").json(f"{root}/status")
+    return status.withColumns(
+        {
+            "message": F.lit(message),
+            "row_count_affected": F.lit(affected).cast("long"),
+            "report_written": F.lit(path_exists(spark, f"{root}/report")),
+            "absent_is_skipped": F.lit(skipped),
+        }
+    )
+
+
+@query(
+    "landing_copy",
+    CUSTOMERS + "SELECT customerID, tenure, MonthlyCharges, TotalCharges, true AS copied, false AS copied_again FROM v",
+)
+def landing_copy(spark, sf):
+    """Raw files land once; landing them again leaves the copy as it is."""
+    source, target = new_folder(spark, "outside"), new_folder(spark, "landed")
+    tables.write_csv(stand_in.customers(spark, sf), source)
+    copied, again = land_once(spark, source, target), land_once(spark, source, target)
+    landed = tables.read_csv(spark, target, fv.RAW_COLUMNS)
+    return landed.select(fv.ID, "tenure", "MonthlyCharges", "TotalCharges", F.lit(copied).alias("copied"), F.lit(again).alias("copied_again"))
+
+
+@query("repeated_ids", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def repeated(spark, sf):
+    """The ids for which a table of results would be refused."""
+    return repeated_ids(stand_in.table(spark, sf, "lineitem"), "l_orderkey")
+
+
+@query(
+    "uploaded_notes",
+    "SELECT doc_id AS tenure, md5(replace(text, chr(13), '')) AS note_digest FROM documents",
+)
+def uploaded_notes(spark, sf):
+    """An uploaded CSV whose notes hold quotes and line breaks, record by record."""
+    path = new_folder(spark, "upload")
+    documents = stand_in.table(spark, sf, "documents").select(F.col("doc_id").alias("tenure"), F.col("text").alias(fv.NOTE))
+    tables.write_csv(documents, path)
+    uploaded, _ = tables.read_upload(spark, path)
+    return uploaded.select("tenure", F.md5(F.replace(fv.NOTE, F.lit("\r"), F.lit(""))).alias("note_digest"))
+
+
 @query(
     "suite_failure_monitor",
     EVENT_RECORDS + f", g AS ({_raw_gate_sql('er')}) SELECT suite, count(*) AS checks, count(*) FILTER (NOT success) AS failed, "

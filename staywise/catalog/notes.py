@@ -26,7 +26,7 @@ from staywise.operators import resume, tags
 from staywise.plans import stand_in
 from staywise.plans.enrichment import enrich, generate_notes
 from staywise.session import new_folder
-from staywise.streaming.jobs import enrich_stream
+from staywise.streaming.jobs import enrich_stream, open_rows
 
 
 @query("rule_notes", CUSTOMERS + f"SELECT customerID, {RULE_NOTE} AS ticket_note, {RULE_TAG} AS primary_sentiment_tag FROM v")
@@ -173,6 +173,32 @@ def stream_enrichment(spark, sf):
     return done.select(fv.ID, F.md5(fv.NOTE).alias("note_digest"), fv.TAG)
 
 
+@query(
+    "stream_keeps_rows",
+    EVENT_RECORDS
+    + ", ei AS (SELECT event_id, customerID AS raw_id, "
+    + ", ".join(f"coalesce({c}, 'nan') AS {c}" if isinstance(d, str) else c for c, d in fv.ENRICHMENT_DEFAULTS.items())
+    + f" FROM er), ok AS (SELECT *, {errors_sql(list(fv.ENRICHMENT_DEFAULTS), _EVENT_INPUT_RULES)} = '' AS fine FROM ei) "
+    + "SELECT CASE WHEN fine THEN 'done' ELSE 'pending' END AS state, raw_id IS NOT NULL AS named, count(*) AS n FROM ok GROUP BY ALL",
+)
+def stream_keeps_rows(spark, sf):
+    """Every row of a dirty stream is either done or pending, also after a second run."""
+    source, output, checkpoint = (new_folder(spark, name) for name in ("dirty", "enriched", "progress"))
+    stand_in.event_records(spark, sf).write.parquet(source)
+    arriving = spark.read.parquet(source).schema
+
+    def run():
+        requests = spark.readStream.schema(arriving).option("maxFilesPerTrigger", 4).parquet(source)
+        enrich_stream(requests, output, checkpoint).awaitTermination()
+
+    run()
+    run()
+    done = spark.read.parquet(f"{output}/done").select(fv.ID, F.lit("done").alias("state"))
+    left = open_rows(spark, output).select(fv.ID, F.lit("pending").alias("state"))
+    both = done.unionByName(left)
+    return both.groupBy("state", F.col(fv.ID).isNotNull().alias("named")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- checks on notes and tags --------------------------------------------------------------
 
 

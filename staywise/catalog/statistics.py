@@ -171,6 +171,24 @@ def line_vif(spark, sf):
     return result.withColumn("VIF", F.round("VIF", 6))
 
 
+@query(
+    "vif_collinear",
+    """WITH g AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_discount * l_discount) AS cc, sum(l_quantity * l_discount) AS ac FROM lineitem)
+       SELECT 'quantity' AS Feature, CAST('inf' AS DOUBLE) AS VIF FROM g
+       UNION ALL SELECT 'twice', CAST('inf' AS DOUBLE) FROM g
+       UNION ALL SELECT 'none', CAST(NULL AS DOUBLE) FROM g
+       UNION ALL SELECT 'discount', round(cc / (cc - ac * ac / aa), 6) FROM g""",
+)
+def vif_collinear(spark, sf):
+    """A column that another one determines, one of zeros, and one that stands for itself."""
+    quantity = F.col("l_quantity").cast("double")
+    lines = stand_in.table(spark, sf, "lineitem").select(
+        quantity.alias("quantity"), (2 * quantity).alias("twice"), F.lit(0.0).alias("none"), F.col("l_discount").alias("discount")
+    )
+    result = explore.variance_inflation(lines, lines.columns)
+    return result.withColumn("VIF", F.round("VIF", 6))
+
+
 @query(
     "drop_first_dummies",
     CUSTOMERS + """SELECT customerID, CAST(tenure AS DOUBLE) AS tenure,

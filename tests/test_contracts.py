@@ -103,3 +103,26 @@ def test_a_registered_suite_is_returned_unchanged():
     registry = gates.SuiteRegistry()
     first = registry.raw("s", {"a": "str"})
     assert registry.raw("s", {"b": "str"}) is first and registry.enriched("t") is registry.enriched("t")
+
+
+def test_an_absent_column_silences_only_its_own_rules(make_customers):
+    got = errors_of(make_customers({"MonthlyCharges": -1.0, "SeniorCitizen": 7}).drop("tenure"), contracts.CUSTOMER_ROW)
+    assert got == [["tenure: missing", "SeniorCitizen: outside 0..1", "MonthlyCharges: outside 0.."]]
+
+
+def test_nan_is_missing_in_gates_and_counts(spark):
+    from staywise.operators.explore import missing_counts
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, "x"), (nan, None), (None, "nan"), (500.0, "y")], "tenure double, note string")
+    suite = gates.Suite(
+        "s",
+        (
+            gates.Expectation("expect_column_values_to_be_between", "tenure", low=0, high=120),
+            gates.Expectation("expect_column_values_to_not_be_null", "tenure", mostly=0.5),
+        ),
+    )
+    ranged, present = sorted(gates.gate_report(df, suite).collect(), key=lambda r: r["position"])
+    assert (ranged["unexpected_count"], ranged["unexpected_fraction"]) == (1, 0.5)
+    assert (present["unexpected_count"], present["success"]) == (2, True)
+    assert {r["column"]: r["missing"] for r in missing_counts(df).collect()} == {"tenure": 2, "note": 1}

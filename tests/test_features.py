@@ -229,3 +229,50 @@ def test_schema_builder():
     for bad in ({}, {"a": "date"}):
         with pytest.raises(ValueError):
             struct_of(bad)
+
+
+def test_a_failing_encoder_fits_nothing(spark):
+    def factory():
+        def encode(texts):
+            if any("bad" in t for t in texts):
+                raise ConnectionError("down")
+            return [[float(len(t)), 1.0, 0.0] for t in texts]
+
+        return encode
+
+    rows = spark.createDataFrame([("one",), ("three",), ("bad",)], "ticket_note string")
+    with pytest.raises(notes.EncoderUnavailable):
+        notes.fit_notes(rows.repartition(1), components=2, width=3, factory=factory)
+    assert notes.fit_notes(rows.where("ticket_note <> 'bad'"), components=2, width=3, factory=factory).components == 2
+
+
+def test_neighbours_of_a_bounded_sample(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    points = spark.createDataFrame([(str(i), [float(v) for v in r], 1) for i, r in enumerate(x)], "pid string, x array<double>, copies bigint")
+    whole = {r["pid"]: [e["near"] for e in r["near"]] for r in oversample.neighbours_among(points, points.select("pid"), 5, 1000).collect()}
+    distances = np.linalg.norm(x[:, None] - x[None, :], axis=2)
+    np.fill_diagonal(distances, np.inf)
+    assert all(whole[str(i)] == [str(j) for j in np.argsort(distances[i])[:5]] for i in range(300))
+    part = oversample.neighbours_among(points, points.select("pid"), 5, 50).collect()
+    used = {e["near"] for r in part for e in r["near"]}
+    assert len(part) == 300 and len(used) <= 50
+    for r in part[:20]:
+        i = int(r["pid"])
+        allowed = sorted((distances[i][int(j)], j) for j in used if int(j) != i)
+        assert [e["distance"] for e in r["near"]] == pytest.approx([d for d, _ in allowed[:5]])
+
+
+def test_synthetic_rows_lie_between_two_of_their_class(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(40, 3)), rng.normal(size=(90, 3)) + 9])
+    y = [1] * 40 + [0] * 90
+    grown = oversample.smote(labelled(spark, x, y), max_points=25).where("synthetic").collect()
+    assert len(grown) == 50
+    minority = x[:40]
+    for r in grown:
+        p = np.array(r["features"])
+        a, b = minority[:, None], minority[None, :]
+        along = np.clip(((p - a) * (b - a)).sum(-1) / np.maximum(((b - a) ** 2).sum(-1), 1e-300), 0, 1)
+        off = np.linalg.norm(a + along[..., None] * (b - a) - p, axis=-1)
+        assert off.min() < 1e-9

@@ -47,22 +47,22 @@ def test_rules_take_the_first_match(make_customers):
     rows = make_customers(
         {},
         {"TechSupport": "Yes"},
-        {"TechSupport": "Yes", "MonthlyCharges": 70.0},
+        {"TechSupport": "Yes", "MonthlyCharges": 70.0, "tenure": 20},
         loyal,
         fresh,
         {**fresh, "tenure": 7},
     ).coalesce(1)
     got = notes_of(rows)
     assert [t for _, t in got] == ["Frustrated", "Billing Inquiry", "Technical Issue", "Satisfied", "Neutral", "Neutral"]
-    assert got[0][0].startswith("Cust 7590-VHVEG contacted") and "$85.50 were flagged" in got[0][0]
+    assert got[0][0].startswith("Cust C-0001 contacted") and "$91.25 were flagged" in got[0][0]
     assert got[4][0].startswith("New customer (3 months)")
     assert got[5][0].startswith("Cust with 7 months tenure on a One year contract")
 
 
 def test_profile_lists_every_field(make_customers):
     profile = make_customers({"SeniorCitizen": 1}).select(text.profile_text(text.charges_text())).first()[0]
-    assert profile.startswith("\nCustomer CRM Profile:\n- Customer ID     : 7590-VHVEG\n")
-    assert "- Senior Citizen  : Yes\n" in profile and "- Monthly Charges : $85.50\n" in profile
+    assert profile.startswith("\nCustomer CRM Profile:\n- Customer ID     : C-0001\n")
+    assert "- Senior Citizen  : Yes\n" in profile and "- Monthly Charges : $91.25\n" in profile
     assert "Churn" not in profile and profile.endswith("for this customer.\n")
 
 
@@ -109,3 +109,10 @@ def test_dense_forms(spark):
     row = df.select(vectors.dense_array(df, "v"), vectors.dense_array(df, "x"), vectors.dense_array(df, "a"), vectors.zero_array(3)).first()
     assert [list(c) for c in row] == [[1.0, 2.0], [1.0, 0.0], [1.0], [0.0, 0.0, 0.0]]
     assert np.isclose(fv.DECISION_THRESHOLD, 0.5)
+
+
+def test_money_of_any_double(spark):
+    values = [0.0, -0.005, 2.675, 1e17, -1e17, 2.0**61, 4.5e15 + 0.5, float("nan"), float("inf"), float("-inf"), 123456789012.345]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    got = [r[0] for r in df.select(numbers.money_text(F.col("v"))).collect()]
+    assert got == [f"{v:.2f}" for v in values]

@@ -147,3 +147,14 @@ def test_review_sample_and_diversity(spark):
     assert abs(share - 0.1) < 0.01
     assert tags.note_diversity(df, exact=True).first()["unique_notes"] == 100
     assert abs(tags.note_diversity(df).first()["unique_notes"] - 100) <= 5
+
+
+def test_repeated_results_are_refused(spark, make_customers):
+    raw = make_customers({"customerID": "a"}, {"customerID": "b"})
+    once = spark.createDataFrame([("a", "note", "Neutral"), (None, "n", "Neutral"), (None, "n", "Neutral")], "customerID string, ticket_note string, primary_sentiment_tag string")
+    assert resume.with_finished(raw, once).count() == 2
+    twice = once.union(once)
+    for call in (lambda: resume.with_finished(raw, twice), lambda: resume.write_back(resume.with_finished(raw, once), twice)):
+        with pytest.raises(resume.DuplicateIds):
+            call()
+    assert [tuple(r) for r in resume.repeated_ids(twice).collect()] == [("a", 2)]

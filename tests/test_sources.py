@@ -136,3 +136,10 @@ def test_rolling_monitors(spark):
     assert [r["rolling_recall"] for r in got] == [1.0, 1.0, 9 / 12, 2 / 8]
     assert [r["recall_alarm"] for r in got] == [False, False, False, True]
     assert [r["fallback_alarm"] for r in got] == [False, False, True, False]
+
+
+def test_upload_with_line_breaks_and_fractions(spark, tmp_path):
+    path = tmp_path / "up.csv"
+    path.write_text('customerID,tenure,ticket_note\na,3,"says ""no"",\nthen yes"\nb,3.7,plain\nc,4.0,"x\n\ny"\n')
+    got, message = tables.read_upload(spark, str(path))
+    assert message == "" and [tuple(r) for r in got.collect()] == [("a", 3, 'says "no",\nthen yes'), ("b", None, "plain"), ("c", 4, "x\n\ny")]
