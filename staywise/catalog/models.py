@@ -1,7 +1,7 @@
 """Training, evaluation, scoring and attribution of the stacked model.
 
-The registered queries train on the whole derived customer table with a small
-budget of trees and candidates; the library's defaults are the full ones.
+The registered queries train on the whole derived customer table within ``BUDGET``, which
+spends the ``QUERY_*`` parameters; ``TrainingPlan()`` is the full plan.
 """
 
 from __future__ import annotations
@@ -32,20 +32,31 @@ from staywise.plans.training import (
     training_rows,
 )
 from staywise.session import new_folder, written
+from staywise.sources.landing import path_stamp
 from staywise.streaming.jobs import score_stream
 
-_SMALL = TreeSettings(trees=4, depth=3)
-_CANDIDATES = (TreeSettings(trees=4, depth=3, learning_rate=0.2), TreeSettings(trees=4, depth=2, learning_rate=0.3))
-_PLAN = TrainingPlan(folds=3, oof=_SMALL, structured_candidates=_CANDIDATES, text_candidates=_CANDIDATES)
+_TRIALS = tuple(TreeSettings(trees=fv.QUERY_TREES, depth=fv.QUERY_DEPTH, learning_rate=r) for r in fv.QUERY_LEARNING_RATES)
+BUDGET = TrainingPlan(
+    folds=fv.QUERY_FOLDS,
+    oof=TreeSettings(trees=fv.QUERY_TREES, depth=fv.QUERY_DEPTH),
+    structured_candidates=_TRIALS,
+    text_candidates=_TRIALS,
+)
+
+_ENRICHED: dict[tuple, DataFrame] = {}
+_BUILDS: dict[tuple, FeatureBuild] = {}
+_MODELS: dict[tuple, StackedModel] = {}
+
 
-_ENRICHED: dict[tuple[str, str], DataFrame] = {}
-_BUILDS: dict[tuple[str, str], FeatureBuild] = {}
-_MODELS: dict[tuple[str, str], StackedModel] = {}
+def _key(spark, sf) -> tuple:
+    """This session and the state of the tables that the customer table derives from."""
+    stamps = [path_stamp(spark, f"{sf}/{name}.parquet") for name in ("customer", "documents", "labels")]
+    return (spark.sparkContext.applicationId, sf, *stamps)
 
 
 def enriched_table(spark, sf):
     """The enriched table as the enrichment job leaves it, written once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = _key(spark, sf)
     if key not in _ENRICHED:
         _ENRICHED[key] = written(enriched(spark, sf), "enriched")
     return _ENRICHED[key]
@@ -53,7 +64,7 @@ def enriched_table(spark, sf):
 
 def built(spark, sf) -> FeatureBuild:
     """The feature build of this session and folder, fitted once."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = _key(spark, sf)
     if key not in _BUILDS:
         build = build_features(enriched_table(spark, sf))
         _BUILDS[key] = FeatureBuild(written(build.rows, "feature-rows", ["split"]), build.structured, build.text)
@@ -61,10 +72,10 @@ def built(spark, sf) -> FeatureBuild:
 
 
 def trained(spark, sf) -> StackedModel:
-    key = (spark.sparkContext.applicationId, sf)
+    key = _key(spark, sf)
     if key not in _MODELS:
         path = new_folder(spark, "models")
-        train_stacked(built(spark, sf).rows, _PLAN).save(path)
+        train_stacked(built(spark, sf).rows, BUDGET).save(path)
         _MODELS[key] = StackedModel.load(path)
     return _MODELS[key]
 
@@ -76,12 +87,12 @@ def scorer(spark, sf) -> Scorer:
 
 @query("oof_scores")
 def oof_scores(spark, sf):
-    return out_of_fold(training_rows(built(spark, sf).rows, "train"), 3, _SMALL)
+    return out_of_fold(training_rows(built(spark, sf).rows, "train"), BUDGET.folds, BUDGET.oof)
 
 
 @query("meta_coefficients")
 def meta_coefficients(spark, sf):
-    meta = fit_meta(written(out_of_fold(training_rows(built(spark, sf).rows, "train"), 3, _SMALL), "oof"))
+    meta = fit_meta(written(out_of_fold(training_rows(built(spark, sf).rows, "train"), BUDGET.folds, BUDGET.oof), "oof"))
     rows = [("p_struct", float(meta.coefficients[0])), ("p_nlp", float(meta.coefficients[1])), ("intercept", float(meta.intercept))]
     return spark.createDataFrame(rows, "term string, weight double")
 
@@ -91,7 +102,7 @@ def search_recall(spark, sf):
     """Recall of every candidate on the untouched validation rows."""
     rows = built(spark, sf).rows
     train = training_rows(rows, "train")
-    found = search(balanced(train, "structured", fv.SEED), training_rows(rows, "val"), "structured", list(_CANDIDATES))
+    found = search(balanced(train, "structured", fv.SEED), training_rows(rows, "val"), "structured", BUDGET.candidates("structured"))
     tried = [(i, s.trees, s.depth, s.learning_rate, r, s == found.best) for i, (s, r) in enumerate(found.recalls)]
     return spark.createDataFrame(tried, "trial int, trees int, depth int, learning_rate double, recall double, best boolean")
 

@@ -285,5 +285,11 @@ MAX_CLASSES = 1000
 MAX_CATEGORIES = 5000
 #: Groups whose quantiles are asked for at once.
 MAX_GROUPS = 1000
+#: What the registered model queries spend on a fit. The library's own defaults are FOLDS, OOF_TREES,
+#: STRUCTURED_TRIALS and TEXT_TRIALS above; README states what those cost.
+QUERY_FOLDS = 5
+QUERY_TREES = 4
+QUERY_DEPTH = 3
+QUERY_LEARNING_RATES = (0.2, 0.3)
 #: Distinct minority points among which oversampling looks for neighbours.
 MAX_NEIGHBOUR_POINTS = 100_000

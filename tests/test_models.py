@@ -13,7 +13,7 @@ from staywise.plans import evaluation, scoring, training
 from staywise.plans.feature_build import build_features
 from staywise.session import new_folder, written
 from staywise.sources import reports
-from staywise.streaming.jobs import enrich_stream, score_stream
+from staywise.streaming.jobs import enrich_stream, open_rows, retry_pending, score_stream
 from test_features import sample_rows
 from staywise.sources.schema import ENRICHED_SCHEMA
 
@@ -215,3 +215,27 @@ def test_enrichment_stream_is_idempotent(spark, make_customers):
     # A lost checkpoint replays every file; finished ids are not written again under another batch.
     again = run(new_folder(spark, "progress"))
     assert again.count() == 30 and again.select(fv.ID).distinct().count() == 30
+    # What broke the contract is kept with its reason, and still is the only open row.
+    left = open_rows(spark, output).collect()
+    assert [(r[fv.ID], r["errors"]) for r in left] == [("bad", ["tenure: outside 0.."])]
+
+
+def test_open_rows_are_tried_again(spark, make_customers):
+    output = new_folder(spark, "enriched")
+    rows = make_customers({"customerID": "a"}, {"customerID": "a"}, {"customerID": "b", "tenure": -1}, {"customerID": None})
+    source = new_folder(spark, "raw")
+    rows.write.parquet(source)
+
+    def run():
+        requests = spark.readStream.schema(rows.schema).parquet(source)
+        enrich_stream(requests, output, new_folder(spark, "progress")).awaitTermination()
+
+    run()
+    assert sorted(str(r[fv.ID]) for r in spark.read.parquet(f"{output}/done").collect()) == ["None", "a"]
+    # The row arrives mended in a later batch's pending folder; the next run takes it up.
+    mended = open_rows(spark, output).drop("batch").withColumn("tenure", F.lit(4).cast("long"))
+    mended.write.parquet(f"{output}/pending/batch=9")
+    retry_pending(spark, output)
+    assert open_rows(spark, output).count() == 0
+    done = {str(r[fv.ID]): r["batch"] for r in spark.read.parquet(f"{output}/done").collect()}
+    assert done["b"] == -1

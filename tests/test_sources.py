@@ -62,8 +62,14 @@ def test_zip_members(spark, tmp_path):
     assert {(r["member"], r["line"]) for r in lines.collect()} == {("a.csv", "h"), ("a.csv", "1"), ("a.csv", "2"), ("sub/b.csv", "k"), ("sub/b.csv", "é")}
     out = str(tmp_path / "out")
     assert landing.extract_zip(spark, str(tmp_path / "d.zip"), out) is True
-    assert [r[0] for r in tables.read_csv(spark, f"{out}/member=a.csv").collect()] == ["1", "2"]
+    assert [r[0] for r in tables.read_csv(spark, f"{out}/archive=d.zip/member=a.csv").collect()] == ["1", "2"]
     assert landing.extract_zip(spark, str(tmp_path / "d.csv"), out) is False
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("a/b", "one\n")
+        z.writestr("a_b", "two\n")
+    both = str(tmp_path / "both")
+    landing.extract_zip(spark, str(tmp_path / "e.zip"), both)
+    assert {tuple(r) for r in spark.read.text(both).select("member", "value").collect()} == {("a/b", "one"), ("a_b", "two")}
 
 
 def test_gate_files(spark, make_customers):
