@@ -26,6 +26,7 @@ ids keep to one range, ordered by text; an empty table writes no frame; other co
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm.common import bind, not_above, slices, utf8
+from staywise.llm.common import bind, not_above, slices, small_batches, utf8
 from staywise.session import ship_code, written
 
 MAGIC = b"S8BFRAME"
@@ -43,7 +44,8 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
 
 _TOKENIZERS: dict[str, tuple] = {}
-_CACHED_WORDS = 400_000
+#: Words and stems a worker keeps, and as many of the time before.
+_CACHED_WORDS, _CACHED_STEMS = 50_000, 150_000
 
 
 # -- Simple-8b ---------------------------------------------------------------------------
@@ -176,6 +178,66 @@ def frames(data) -> Iterator[tuple[int, int, list, list, object]]:
 # -- Tokens ------------------------------------------------------------------------------
 
 
+def _u32(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(dict):
+    """Ids of words as u32 bytes, encoded when first asked for.
+
+    Most words are Latin letters with at most one full stop or comma behind. For those the
+    tokenizer's steps before its merges do nothing but lower-case, split off the mark and
+    spell out bytes, so the merges are asked directly and once for all spellings of a word.
+    Every other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        import re
+
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.stems, self.old, self.old_stems = tokenizer, {}, {}, {}
+        self.merge = tokenizer.model.tokenize
+        self.plain = re.compile("([a-zà-öø-ÿß]+)([.,]?)").fullmatch
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.marks = {"": b"", ".": self.encode("."), ",": self.encode(",")}
+
+    def encode(self, word: str) -> bytes:
+        return _u32(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
+        text = word.decode()
+        plain = self.plain(text.lower())
+        if plain:
+            stem, mark = plain.groups()
+            ids = self.stems.get(stem)
+            if ids is None:
+                ids = self.old_stems.get(stem)
+                if ids is None:
+                    spelt = stem if stem.isascii() else stem.translate(self.spelling)
+                    ids = _u32([t.id for t in self.merge(spelt)])
+                self.stems[stem] = ids
+            if mark:
+                ids += self.marks[mark]
+        else:
+            ids = self.encode(text)
+        self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        """Bounds the words that are kept; those used since the last time outlive it."""
+        if len(self) > _CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.stems) > _CACHED_STEMS:
+            self.old_stems, self.stems = self.stems, {}
+
+
 def _tokenizer(path: str):
     import os
 
@@ -183,31 +245,25 @@ def _tokenizer(path: str):
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = tokenizer, _Words(tokenizer)
     return _TOKENIZERS[path]
 
 
 def encode_texts(texts: list[bytes], path: str, by_word: bool) -> Iterator[bytes]:
     """The ids of each text as little-endian u32 bytes.
 
-    With ``by_word`` white space never joins tokens, so words are encoded once and looked up again.
+    ``by_word`` is for lower-casing byte-level tokenizers that drop white space and split words from
+    marks, such as the supplied word vocabulary: words are encoded once and looked up again.
     """
-    import numpy as np
-
     tokenizer, known = _tokenizer(path)
-    as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
     if not by_word:
-        for done in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False):
-            yield as_bytes(done.ids)
+        for done in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+            yield _u32(done.ids)
         return
-    split = [t.split() for t in texts]
-    if len(known) > _CACHED_WORDS:
-        known.clear()
-    new = list({w for words in split for w in words}.difference(known))
-    for word, done in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-        known[word] = as_bytes(done.ids)
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
+    for text in texts:
+        yield b"".join(map(known.__getitem__, text.split()))
+    known.trim()
 
 
 def _write_frames(batches: Iterator[pa.RecordBatch], path: str, by_word: bool, end_id: int, frame_ids: int) -> Iterator[pa.RecordBatch]:
@@ -249,7 +305,7 @@ def write_token_files(
 ) -> None:
     """Encode every text and write the frames below ``folder``, about ``range_bytes`` of text to a range.
 
-    ``by_word`` holds for tokenizers that drop white space and never merge across it.
+    ``by_word``: see ``encode_texts``.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -263,7 +319,9 @@ def write_token_files(
     dealt = rows.select(number, "doc_id", "text").repartition(parts, "range").sortWithinPartitions("range", "doc_id", "text")
     encode = partial(_write_frames, path=tokenizer, by_word=by_word, end_id=end_id, frame_ids=frame_ids)
     encoded = dealt.mapInArrow(encode, "frame binary")
-    encoded.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", frames_per_file).text(folder)
+    lines = encoded.select(F.col("frame").cast("string").alias("value"))
+    with small_batches(spark):
+        lines.write.option("maxRecordsPerFile", frames_per_file).text(folder)
 
 
 def _read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
