@@ -113,7 +113,7 @@ def complete_rows(spark, sf):
     )
 
 
-def _collapsed_sql(c: str) -> str:
+def collapsed_sql(c: str) -> str:
     if c in fv.INTERNET_ADD_ONS:
         return f"CASE WHEN {c} = 'No internet service' THEN 'No' ELSE {c} END"
     return f"CASE WHEN {c} = 'No phone service' THEN 'No' ELSE {c} END" if c == "MultipleLines" else c
@@ -124,7 +124,7 @@ def _collapsed_sql(c: str) -> str:
     CUSTOMERS
     + "SELECT customerID, CAST(CASE gender WHEN 'Female' THEN 1 WHEN 'Male' THEN 0 END AS BIGINT) AS gender, "
     + ", ".join(
-        f"CAST(CASE {_collapsed_sql(c)} WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS BIGINT) AS {c}" for c in fv.BINARY_MAP_COLUMNS
+        f"CAST(CASE {collapsed_sql(c)} WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS BIGINT) AS {c}" for c in fv.BINARY_MAP_COLUMNS
     )
     + " FROM v",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
-from staywise.catalog.data_checks import enriched
+from staywise.catalog.data_checks import collapsed_sql, enriched
 from staywise.catalog.registry import query
 from staywise.catalog.sql_views import CUSTOMERS, RISK, RUNS
 from staywise.functions.text import run_title
@@ -138,11 +138,39 @@ def customer_correlation(spark, sf):
     return explore.correlation_matrix(coded, _CODED).withColumn("corr", F.round("corr", 6))
 
 
-@query("correlation_matrix")
+_ENCODED_SQL = {
+    "gender": "CASE gender WHEN 'Female' THEN 1 WHEN 'Male' THEN 0 END",
+    **{c: c for c in ("SeniorCitizen", "tenure", "MonthlyCharges")},
+    "TotalCharges": "TRY_CAST(TotalCharges AS DOUBLE)",
+    **{c: f"CASE {collapsed_sql(c)} WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END" for c in fv.BINARY_MAP_COLUMNS},
+    **{
+        f"{c}_{v}": f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END"
+        for c, values in (
+            ("InternetService", ("Fiber optic", "No")),
+            ("Contract", ("One year", "Two year")),
+            ("PaymentMethod", ("Credit card (automatic)", "Electronic check", "Mailed check")),
+        )
+        for v in values
+    },
+}
+
+
+@query(
+    "correlation_matrix",
+    CUSTOMERS
+    + ", c AS (SELECT "
+    + ", ".join(f"CAST({value} AS DOUBLE) AS k{i}" for i, value in enumerate(_ENCODED_SQL.values()))
+    + " FROM v WHERE TRY_CAST(TotalCharges AS DOUBLE) IS NOT NULL) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr(k{i}, k{j}), 6) AS corr FROM c"
+        for i, a in enumerate(_ENCODED_SQL)
+        for j, b in enumerate(_ENCODED_SQL)
+    ),
+)
 def correlation_matrix(spark, sf):
     """All encoded columns, dummies included."""
     encoded = explore.drop_first_dummies(explore.cleaned_for_exploration(stand_in.customers(spark, sf)), [fv.ID])
-    return explore.correlation_matrix(encoded, encoded.columns)
+    return explore.correlation_matrix(encoded, encoded.columns).withColumn("corr", F.round("corr", 6))
 
 
 @query("vif")
