@@ -61,35 +61,28 @@ def heal_replies(spark, sf):
     return replies.select("conv_id", "turn", F.col("reply.ticket_note"), F.col("reply.primary_sentiment_tag"))
 
 
-def answer_short_profiles():
-    """A stand-in generator: it answers for long-tenured customers and fails to parse for others."""
-
-    def answer(profiles):
-        return [
-            '{"ticket_note": "Called about an invoice.", "primary_sentiment_tag": ["Billing Inquiry"]}'
-            if "Senior Citizen  : Yes" in p
-            else "no answer"
-            for p in profiles
-        ]
-
-    return answer
-
-
-def always_down():
-    raise ConnectionError("generator is down")
+_USABLE = f"tag IN {in_list(fv.SENTIMENT_TAGS)} AND length(text) >= 1"
 
 
 @query(
     "tiered_generation",
     CUSTOMERS
-    + f"""SELECT customerID,
-       CASE WHEN SeniorCitizen = 1 THEN 'secondary' ELSE 'rules' END AS source,
-       CASE WHEN SeniorCitizen = 1 THEN 'Called about an invoice.' ELSE {RULE_NOTE} END AS ticket_note,
-       CASE WHEN SeniorCitizen = 1 THEN 'Billing Inquiry' ELSE {RULE_TAG} END AS primary_sentiment_tag FROM v""",
+    + f""", rk AS (SELECT conv_id, turn, text, (conv_id * 7 + turn) % 8 AS kind FROM conversations),
+     rp AS (SELECT *, CASE kind WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Satisfied' WHEN 2 THEN 'Billing Inquiry' WHEN 5 THEN 'Neutral' END AS tag FROM rk),
+     ra AS (SELECT conv_id AS a_id, text AS a_text, tag AS a_tag FROM rp WHERE turn = 0 AND {_USABLE}),
+     rb AS (SELECT conv_id AS b_id, text AS b_text, tag AS b_tag FROM rp WHERE turn = 1 AND {_USABLE}),
+     rj AS (SELECT * FROM v LEFT JOIN ra ON a_id = CAST(substr(customerID, 10) AS BIGINT) LEFT JOIN rb ON b_id = CAST(substr(customerID, 10) AS BIGINT))
+     SELECT customerID, CASE WHEN a_id IS NOT NULL THEN 'primary' WHEN b_id IS NOT NULL THEN 'secondary' ELSE 'rules' END AS source,
+       coalesce(a_text, b_text, {RULE_NOTE}) AS ticket_note, coalesce(a_tag, b_tag, {RULE_TAG}) AS primary_sentiment_tag FROM rj""",
 )
 def tiered_generation(spark, sf):
-    """The primary generator is down, the secondary answers some, rules cover the rest."""
-    done = generate_notes(stand_in.customers(spark, sf), F.lit(True), always_down, answer_short_profiles)
+    """Replies of two tiers, some of them unusable or absent; rules cover the rest."""
+    replies = stand_in.raw_replies(spark, sf)
+    tier = lambda turn, name: replies.where(F.col("turn") == turn).select(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias(fv.ID), F.col("raw").alias(name)
+    )
+    asked = stand_in.customers(spark, sf).join(tier(0, "first_reply"), fv.ID, "left").join(tier(1, "second_reply"), fv.ID, "left")
+    done = generate_notes(asked, F.lit(True), "first_reply", "second_reply")
     return done.select(fv.ID, "source", F.col("new_note").alias(fv.NOTE), F.col("new_tag").alias(fv.TAG))
 
 

@@ -35,7 +35,8 @@ def encoder_column(factory: EncoderFactory, width: int) -> Callable[[Column], Co
     """A column function ``text -> struct<vector, available>``.
 
     A failing encoder does not fail the job: the rows of that Arrow batch get zero
-    vectors and ``available = false``.
+    vectors and ``available = false``. An encoder may also decline single texts by
+    returning None for them.
     """
     ship_code()
     key = factory_key(factory)
@@ -44,12 +45,13 @@ def encoder_column(factory: EncoderFactory, width: int) -> Callable[[Column], Co
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             try:
-                vectors = np.asarray(built_once(factory, key)(texts.fillna("").tolist()), dtype=float)
+                found = list(built_once(factory, key)(texts.fillna("").tolist()))
+                available = np.array([v is not None for v in found], dtype=bool)
+                vectors = np.asarray([np.zeros(width) if v is None else v for v in found], dtype=float).reshape(len(found), -1)
                 if vectors.shape != (len(texts), width):
                     raise ValueError(f"expected {len(texts)} vectors of width {width}, got {vectors.shape}")
-                available = True
             except Exception:
-                vectors, available = np.zeros((len(texts), width)), False
+                vectors, available = np.zeros((len(texts), width)), np.zeros(len(texts), dtype=bool)
             yield pd.DataFrame({"vector": list(vectors), "available": available})
 
     return encode

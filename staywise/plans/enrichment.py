@@ -43,13 +43,14 @@ def reply_column(factory: GeneratorFactory) -> Callable[[Column, Column], Column
 def generate_notes(
     inputs: DataFrame,
     wanted: Column,
-    primary: GeneratorFactory | None = None,
-    secondary: GeneratorFactory | None = None,
+    primary: GeneratorFactory | str | None = None,
+    secondary: GeneratorFactory | str | None = None,
 ) -> DataFrame:
     """Add ``new_note``, ``new_tag`` and ``source``; all NULL where ``wanted`` is not true.
 
     The first usable reply wins: primary, then secondary, then the rules. Each tier
-    is asked only for rows the earlier ones left open.
+    is asked only for rows the earlier ones left open. A tier is a generator, or the name
+    of a column with raw replies that were collected before.
     """
     table = inputs.withColumns({"_wanted": F.coalesce(wanted, F.lit(False)), "_charges": charges_text()})
     charges = F.col("_charges")
@@ -57,7 +58,9 @@ def generate_notes(
     open_rows = F.col("_wanted")
     for name, factory in (("primary", primary), ("secondary", secondary)):
         if factory is not None:
-            table = table.withColumn(f"_{name}", reply_column(factory)(profile_text(charges), open_rows))
+            collected = isinstance(factory, str)
+            raw = F.when(open_rows, F.col(factory)) if collected else reply_column(factory)(profile_text(charges), open_rows)
+            table = table.withColumn(f"_{name}", raw)
             table = table.withColumn(f"_{name}", parse_reply(F.col(f"_{name}")))
             tiers.append((name, F.col(f"_{name}")))
             open_rows = open_rows & F.col(f"_{name}").isNull()
