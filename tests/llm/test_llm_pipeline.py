@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from corpus_rows import awkward, empty, grams, linked_groups
+from corpus_rows import awkward, empty, grams, linked_groups, prose
 from staywise.llm.queries import vocabulary
 from staywise.session import written
 
@@ -66,7 +66,8 @@ def test_stages_against_loops(spark):
 
 
 def test_stages_take_awkward_and_empty_tables(spark):
-    awkward_rows = awkward(spark).select(corpus_pipeline.COLUMNS)
+    plain = (30, prose(9, 80) + " the of and to in is", "en", "a", 1)
+    awkward_rows = awkward(spark, plain, plain).select(corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, awkward_rows, SMALL)
         assert got.count() > 0, name
