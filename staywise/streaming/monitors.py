@@ -33,17 +33,23 @@ def daily_tallies(scores: DataFrame, time: str = "ts", delay: str = "1 day") ->
     )
 
 
-def tallies_stream(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark allowed and were left out, as far as the query remembers."""
+    states = [s for p in query.recentProgress for s in p["stateOperators"]]
+    return sum(s["numRowsDroppedByWatermark"] for s in states)
+
+
+def tallies_stream(scores: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
     """Keep the daily tallies of a stream of scores; a day is written again whenever it changes.
 
-    The watermark lets finished days leave the state.
+    The watermark lets finished days leave the state; ``late_rows`` tells what came after that.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        daily_tallies(scores)
+        daily_tallies(scores, delay=delay)
         .writeStream.outputMode("update")
         .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)

@@ -149,3 +149,16 @@ def test_upload_with_line_breaks_and_fractions(spark, tmp_path):
     path.write_text('customerID,tenure,ticket_note\na,3,"says ""no"",\nthen yes"\nb,3.7,plain\nc,4.0,"x\n\ny"\n')
     got, message = tables.read_upload(spark, str(path))
     assert message == "" and [tuple(r) for r in got.collect()] == [("a", 3, 'says "no",\nthen yes'), ("b", None, "plain"), ("c", 4, "x\n\ny")]
+
+
+def test_late_rows_are_counted(spark):
+    source, out, progress = (new_folder(spark, n) for n in ("scores", "tallies", "progress"))
+    columns = "ts timestamp, label bigint, prediction bigint, probability double, nlp_branch_available boolean"
+    for day in (10, 20, 1):
+        row = spark.sql(f"select timestamp'2024-01-{day:02d} 12:00:00' ts, 1L label, 1L prediction, 0.5D probability, true nlp_branch_available")
+        row.coalesce(1).write.mode("append").parquet(source)
+    scores = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
+    query = monitors.tallies_stream(scores, out, progress)
+    query.awaitTermination()
+    days = monitors.latest_tallies(spark.read.parquet(out)).count()
+    assert days + monitors.late_rows(query) == 3 and monitors.late_rows(query) == 1
