@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staywise.llm import decontaminate, mixing, ngram_join, quality_rules, token_files
 from staywise.llm.queries import vocabulary
@@ -20,7 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.judge(docs).filter("kept").select(COLUMNS)
+    # A bare column would be tested for null first, and the measures computed twice for it.
+    return quality_rules.judge(docs).filter(F.coalesce("kept", F.lit(False))).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,67 +90,68 @@ def _repeat_words(words: Column, width: int) -> Column:
     return F.when(F.size(words) > width, bind(windows, count)).otherwise(none)
 
 
-def with_measures(docs: DataFrame, text: str = "text", stop_words: list[str] | tuple[str, ...] = STOP_WORDS, window: int = 3) -> DataFrame:
-    """Add the columns named in ``MEASURES``."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def _measures(body: Column, stop_words: list[str] | tuple[str, ...], window: int) -> Column:
+    """All measures of a text as one struct."""
     known = sorted({v for w in stop_words for v in (w, w.capitalize())})
     words = F.filter(F.split(body, f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(f"[^{SPACE[1:]}"))
-    of_words = bind(
-        words,
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+    long = lambda c, name: c.cast("long").alias(name)
+
+    def measured(w: Column, a: Column) -> Column:
+        return F.struct(
+            long(F.size(w), "n_words"),
+            long(F.char_length(F.array_join(w, "")), "word_chars"),
+            long(F.regexp_count(body, F.lit(SYMBOLS)), "n_symbols"),
+            long(F.size(a) - F.size(F.array_distinct(a)), "n_dup_lines"),
             _repeat_words(w, window).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: x.isin(known))).cast("long").alias("n_stop_words"),
-        ),
-    )
-    of_lines = bind(
-        lines,
-        lambda a: F.struct(
-            F.size(a).cast("long").alias("n_lines"),
-            (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        ),
-    )
-    measured = docs.withColumns(
-        {
-            "__w": of_words,
-            "__l": of_lines,
-            "__s": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
-        }
-    )
-    return measured.withColumns(
-        {
-            "n_words": F.col("__w.n_words"),
-            "word_chars": F.col("__w.word_chars"),
-            "n_symbols": F.col("__s"),
-            "n_dup_lines": F.col("__l.n_dup_lines"),
-            "n_repeat_words": F.col("__w.n_repeat_words"),
-            "n_stop_words": F.col("__w.n_stop_words"),
-            "n_lines": F.col("__l.n_lines"),
-        }
-    ).drop("__w", "__l", "__s")
-
-
-def _share(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
-
-
-def compile_rules(rules: tuple[Rule, ...]) -> Column:
+            long(F.size(F.filter(w, lambda x: x.isin(known))), "n_stop_words"),
+            long(F.size(a), "n_lines"),
+        )
+
+    return bind(words, lambda w: bind(lines, lambda a: measured(w, a)))
+
+
+def with_measures(docs: DataFrame, text: str = "text", stop_words: list[str] | tuple[str, ...] = STOP_WORDS, window: int = 3) -> DataFrame:
+    """Add the columns named in ``MEASURES``."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    measured = docs.withColumn("__m", _measures(body, stop_words, window))
+    return measured.withColumns({name: F.col(f"__m.{name}") for name in MEASURES}).drop("__m")
+
+
+def _share(measures: Column, part: str, whole: str) -> Column:
+    return F.when(measures[whole] > 0, measures[part] / measures[whole]).otherwise(F.lit(0.0))
+
+
+def compile_rules(rules: tuple[Rule, ...], measures: Column) -> Column:
     """The names of the broken rules, in table order, as one expression over the measures."""
     ratios = {
-        "mean_word_length": _share("word_chars", "n_words"),
-        "symbols_per_word": _share("n_symbols", "n_words"),
-        "stop_word_share": _share("n_stop_words", "n_words"),
-        "dup_line_share": _share("n_dup_lines", "n_lines"),
-        "repeat_word_share": _share("n_repeat_words", "n_words"),
+        "mean_word_length": _share(measures, "word_chars", "n_words"),
+        "symbols_per_word": _share(measures, "n_symbols", "n_words"),
+        "stop_word_share": _share(measures, "n_stop_words", "n_words"),
+        "dup_line_share": _share(measures, "n_dup_lines", "n_lines"),
+        "repeat_word_share": _share(measures, "n_repeat_words", "n_words"),
     }
     broken = [F.when(~ratios[r.ratio].between(r.low, r.high), F.lit(r.name)) for r in rules]
     return F.filter(F.array(*broken), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """Add the measures, ``base_failed``, ``broken_rules`` and ``kept`` to every row."""
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    judged = with_measures(docs, text).withColumns({"base_failed": base, "broken_rules": compile_rules(rules)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    """Add the measures, ``base_failed``, ``broken_rules`` and ``kept`` to every row.
+
+    All of them are fields of one expression, so a filter on ``kept`` computes it once.
+    """
+
+    def judged(m: Column) -> Column:
+        base = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+        decided = lambda d: F.struct(
+            *[m[name].alias(name) for name in MEASURES],
+            d["base"].alias("base_failed"),
+            d["broken"].alias("broken_rules"),
+            (~d["base"] & (F.size(d["broken"]) == 0)).alias("kept"),
+        )
+        return bind(F.struct(base.alias("base"), compile_rules(rules, m).alias("broken")), decided)
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    verdict = docs.withColumn("__q", bind(_measures(body, STOP_WORDS, 3), judged))
+    names = (*MEASURES, "base_failed", "broken_rules", "kept")
+    return verdict.withColumns({name: F.col(f"__q.{name}") for name in names}).drop("__q")
