@@ -315,7 +315,7 @@ def write_token_files(
     bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("b")).first().b if n > 1 else None
     bounds = sorted(set(bounds or []))
     number = bind(F.col("doc_id"), lambda d: not_above(d, bounds)).alias("range")
-    parts = min(n, 4 * spark.sparkContext.defaultParallelism)
+    parts = max(min(n, 4 * spark.sparkContext.defaultParallelism), n // 4)  # a few ranges each, however many there are
     dealt = rows.select(number, "doc_id", "text").repartition(parts, "range").sortWithinPartitions("range", "doc_id", "text")
     encode = partial(_write_frames, path=tokenizer, by_word=by_word, end_id=end_id, frame_ids=frame_ids)
     encoded = dealt.mapInArrow(encode, "frame binary")
