@@ -12,11 +12,15 @@ of a set on two pieces of a part: three per part, and linked sets share at least
    first moves on, so a signature that a third of all sets share is a few rows a task. After the
    shuffle each signature's firsts hang on the least of them. No pair within a signature is
    formed beyond these trees.
-3. The trees' distinct edges are verified on the words themselves; links make components.
+3. The trees' distinct edges are held against sizes and parity sketches: every feature flips one
+   bit, so two sets differ in at least as many features as bits (a short sketch first, then one
+   that grows with the set). What is left is verified on the words themselves, first the edge of most common signatures of each node, then only edges
+   between what is still apart; links make components.
 4. A signature whose members lie in several components may hide a link between two members that
-   are not on one tree edge. Only for such signatures, pairs of members of different components
-   are verified too. What is then apart shares no signature or was found not to link, so no
-   link between components is missed.
+   are not on one tree edge. Only for such signatures, members of different components are held
+   against each other by size and parity sketch, and only pairs that this leaves possible are
+   formed and verified. What is then apart shares no signature, differs too much or was found not to link,
+   so no link between components is missed.
 
 Cases: null and empty texts have an empty set and link with nothing; fewer words than ``width``
 are one feature; rows of one document id are one document, a null id stands for its text;
@@ -40,6 +44,8 @@ from staywise.session import ship_code, written
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 _KEPT_WORDS = 500_000
 _FLUSH = 1 << 20
+#: Longs in a parity sketch.
+_PARITY = 32
 
 
 class _WordHashes(dict):
@@ -129,19 +135,55 @@ def signatures(grams, plan: _Plan):
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parity(grams, bits: int = 64 * _PARITY) -> bytes:
+    """The parity sketch: for each of its bits (a power of two), whether an odd number of features hashes there."""
+    import numpy as np
+
+    odd = np.bincount(((grams >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_parity(grams) -> bytes:
+    """A parity sketch of four bits or more for each feature."""
+    return parity(grams, max(64 * _PARITY, 1 << (4 * len(grams)).bit_length()))
+
+
+def least_difference(one: bytes, two: bytes) -> int:
+    """Features in which two sets differ at least, by sketches of any sizes: the larger is folded upon itself."""
+    if len(one) < len(two):
+        one, two = two, one
+    x, y = int.from_bytes(one, "big"), int.from_bytes(two, "big")
+    size = 4 * len(one)  # half its bits
+    while size >= 8 * len(two):
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+        size //= 2
+    return (x ^ y).bit_count()
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that their wide sketches leave possible."""
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("na", "nb", "wa", "wb"))
+        keep = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (m + n) for m, n, x, y in zip(*columns)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     for batch in slices(batches, "text"):
-        sizes, one, two = [], [], []
+        sizes, one, two, sketches, wide = [], [], [], [], []
         for text in utf8(batch.column("text")):
             grams = features(words_of(text), width)
             sizes.append(len(grams))
             one.append(int(grams.sum(dtype=np.uint64)))
             two.append(int(mix(grams ^ np.uint64(_MIX[1])).sum(dtype=np.uint64)))
+            sketches.append(np.frombuffer(parity(grams), np.int64))
+            wide.append(wide_parity(grams))
         as_long = lambda v: pa.array(mix(np.array(v, np.uint64)).view(np.int64))
         columns = [batch.column("doc_id"), batch.column("doc"), batch.column("print"), pa.array(sizes, pa.int64()), as_long(one), as_long(two)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "print", "n", "h1", "h2"])
+        columns += [pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "print", "n", "h1", "h2", "parity", "wide"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -158,8 +200,10 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         opens = np.append(True, sig[1:] != sig[:-1])
         fresh = opens | np.append(True, own[1:] != own[:-1])
         first = own[np.maximum.accumulate(np.where(opens, np.arange(len(sig)), 0))]
-        parent = pa.array(first[fresh], mask=opens[fresh])
-        return pa.RecordBatch.from_arrays([pa.array(sig[fresh]), pa.array(own[fresh]), parent], ["sig", "set", "parent"])
+        keep = np.flatnonzero(fresh)
+        keep = keep[np.argsort(own[keep], kind="stable")]  # rows of one set side by side compress well
+        parent = pa.array(first[keep], mask=opens[keep])
+        return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep]), parent], ["sig", "set", "parent"])
 
     for batch in slices(batches, "text"):
         for text in utf8(batch.column("text")):
@@ -259,26 +303,37 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     ship_code(spark)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _document(key, text).alias("doc"), F.xxhash64(body).alias("print"), body.alias("text"))
-    named = "doc_id long, doc long, print long, n long, h1 long, h2 long"
+    named = "doc_id long, doc long, print long, n long, h1 long, h2 long, parity array<bigint>, wide binary"
     sets = written(rows.mapInArrow(partial(_fingerprints, width=width), named), "gram-sets")
-    nodes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min(F.struct("doc", "print")).alias("from"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
+    nodes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min(F.struct("doc", "print")).alias("from"), F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
     nodes = written(nodes, "gram-nodes")
 
     signed = rows.select("text").mapInArrow(partial(_signed, width=width, percent=percent), "sig long, set long, parent long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", F.col("parent").asc_nulls_first(), "set")
     trees = written(ordered.mapInArrow(_trees, "sig long, parent long, child long"), "gram-trees")
 
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     side = lambda s: nodes.select(F.col("h1").alias(f"h{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"))
 
-    def pairs(edges: DataFrame) -> DataFrame:
-        """Distinct node pairs of set pairs (ha, hb) that sizes allow."""
-        both = edges.distinct().join(side("a"), "ha").join(side("b"), "hb").filter(near & (F.col("a") != F.col("b")))
-        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def words(prefix: str = "") -> list[Column]:
+        """The parity sketch folded once, as columns: plain longs keep a join's condition compact."""
+        half = _PARITY // 2
+        return [F.col("parity")[i].bitwiseXOR(F.col("parity")[i + half]).alias(f"{prefix}w{i}") for i in range(half)]
+
+    sketch = lambda s: nodes.select(F.col("node").alias(s), *words(s))
+
+    def may_link(x: str, y: str, px: str, py: str) -> Column:
+        """Sizes and parity sketches leave a link possible."""
+        bits = sum((F.bit_count(F.col(f"{px}w{i}").bitwiseXOR(F.col(f"{py}w{i}"))) for i in range(_PARITY // 2)), F.lit(0))
+        sizes = 100 * F.least(x, y) >= percent * F.greatest(x, y)
+        return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(x) + F.col(y)))
 
     def linked(candidates: DataFrame) -> DataFrame:
+        wide = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}"))
+        sketched = candidates.select("a", "b").join(wide("a"), "a").join(wide("b"), "b")
+        candidates = sketched.mapInArrow(partial(_possible, percent=percent), "a long, b long").distinct()
+        candidates = written(candidates, "gram-possible")
         need = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(need, "node").select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print"))
+        wanted = nodes.join(need, "node").dropDuplicates(["node"]).select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print"))
         found = rows.select("doc", "print", "text").join(wanted, ["doc", "print"]).dropDuplicates(["doc", "print"])
         texts = written(found.select("node", "text"), "gram-texts")
         held = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -286,12 +341,25 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         )
         return written(held.mapInArrow(partial(_linked, width=width, percent=percent), "u long, v long"), "gram-links")
 
-    tried = written(pairs(trees.select(F.col("parent").alias("ha"), F.col("child").alias("hb"))), "gram-pairs")
-    links = linked(tried)
+    edges = trees.groupBy(F.col("parent").alias("ha"), F.col("child").alias("hb")).agg(F.count(F.lit(1)).alias("c"))
+    both = edges.join(side("a"), "ha").join(side("b"), "hb").filter((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"))
+    both = both.select(*ends, F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    both = both.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    tried = both.join(sketch("a"), "a").join(sketch("b"), "b").filter(may_link("na", "nb", "a", "b"))
+    tried = written(tried.select("a", "b", "c"), "gram-pairs")
+    # First each node with the one it shares most signatures with, then what is still apart.
+    closest = tried.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    links = linked(closest)
+    labels = written(components(links), "gram-labels")
+    joined = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    apart = tried.join(joined("a"), "a", "left").join(joined("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    apart = written(apart.select("a", "b").join(closest, ["a", "b"], "left_anti"), "gram-pairs")
+    links = links.unionByName(linked(apart))
     labels = written(components(links), "gram-labels")
 
     # Signatures whose members are not all in one component.
-    label = nodes.join(labels, "node", "left").select("h1", "node", "n", F.coalesce("component", "node").alias("component"))
+    label = nodes.join(labels, "node", "left").select("h1", "node", "n", "parity", F.coalesce("component", "node").alias("component"))
     label = written(label, "gram-label")
     of = lambda s: label.select(F.col("h1").alias(s), F.col("component").alias(f"c_{s}"))
     split = trees.join(of("parent"), "parent").join(of("child"), "child").filter("c_parent != c_child").select("sig").distinct()
@@ -299,12 +367,11 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     members = held.select("sig", F.col("parent").alias("h1")).union(held.select("sig", F.col("child").alias("h1"))).distinct()
     crowd = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("h1").cast("decimal(38,0)")).alias("who"))
     once = crowd.filter("n > 2").groupBy("n", "who").agg(F.min("sig").alias("sig"))  # signatures with the same members say the same
-    apart = members.join(once.select("sig"), "sig").join(label, "h1").select("sig", "node", "n", "component")
+    apart = members.join(once.select("sig"), "sig").join(label, "h1").select("sig", "node", "n", "component", *words())
     apart = written(apart, "gram-apart")
     x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component"))).filter(
-        100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    )
+    same = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component"))
+    cross = x.join(y, same & may_link("x.n", "y.n", "x.", "y."))
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = written(cross.join(tried, ["a", "b"], "left_anti"), "gram-cross")
     extra = linked(more) if more.limit(1).count() else None
@@ -313,7 +380,7 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         labels = written(components(links), "gram-labels")
 
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = nodes.drop("parity", "wide").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").join(degree, "node", "left").select("h1", "h2", "root", "component_id", "n_links")
     return sets.join(known, ["h1", "h2"], "left").select("doc_id", "doc", "n", "root", "component_id", "n_links")
