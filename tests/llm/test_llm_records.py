@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -292,6 +293,45 @@ def test_licences_by_header_file_and_ancestor(spark):
     assert license_scan.scan(files.limit(0), key="file").count() == 0
 
 
+def _wrapped(text, mark, width=60):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_licences_of_wrapped_headers_and_whole_files(spark):
+    notices = {}
+    for name, text in license_scan.licence_notices.NOTICES:
+        notices[name] = text  # the longest of each licence comes last
+    full = dict(license_scan.licence_notices.full_texts())
+    mit_file = "The MIT License (MIT)\n\nCopyright (c) 2031 Some One\n\n" + "\n\n".join(_wrapped(p, "") for p in notices["MIT"].replace(": The", ":\n\nThe").split("\n\n"))
+    code = "import os\n" + _wrapped(notices["ISC"], "# ") + "\n" + "x = 1\n" * 50
+    rows = [
+        ("Apache-2.0", "a.py", "#!/usr/bin/env python\n# Copyright 2031 The Tool Authors.\n#\n" + _wrapped(notices["Apache-2.0"], "# ") + "\n\nimport os"),
+        ("BSD-3-Clause", "b.c", "/*\n * Copyright (c) 2031, Some One\n *\n" + _wrapped(notices["BSD-3-Clause"].replace("copyright holder nor", "Some Institute nor"), " * ") + "\n */\nint x;"),
+        ("BSD-2-Clause", "c.go", _wrapped(notices["BSD-2-Clause"], "// ") + "\n\npackage c"),
+        ("MIT", "d.html", "<!DOCTYPE html>\n<!--\nA page about trees and how they grow in gardens.\n\n" + _wrapped(notices["MIT"], "  ") + "\n-->\n<p>"),
+        ("ISC", "e.js", "/**\n" + _wrapped(notices["ISC"], " * ") + " */ run();"),
+        ("MPL-2.0", "f.sql", _wrapped(notices["MPL-2.0"], "-- ") + "\nselect 1"),
+        ("GPL-2.0", "g.lisp", ";; A tool.\n;;\n" + _wrapped(notices["GPL-2.0"], ";; ")),
+        ("LGPL-3.0", "h.rs", _wrapped(notices["LGPL-3.0"], "// ") + "\nfn x() {}"),
+        ("Apache-2.0", "i.ts", "// Copyright 2031 Some One\n// SPDX-License-Identifier: Apache-2.0\n// Helps with sorting of very many things.\nlet x"),
+        ("GPL-2.0", "j.h", "/* SPDX-License-Identifier: GPL-2.0-only */\nint y;"),
+        ("MIT", "k.sh", "# Released under\n# the MIT License.\necho"),
+        (None, "l.sh", "# SPDX-License-Identifier: Zlib\necho"),
+        (None, "m.py", code),
+        (None, "n.py", "# A module that sorts things and grants a driving permission to people.\nx = 1"),
+        ("MIT", "p/LICENSE", mit_file),
+        ("MIT", "p/q.py", "x = 1"),
+        ("ISC", "r/LICENCE.md", "Copyright 2031 Some One\n\n" + _wrapped(notices["ISC"], "")),
+        ("Unlicense", "s/UNLICENSE", _wrapped(notices["Unlicense"], "")),
+        *[(name, f"t{i}/COPYING", "Some project\n" + text.replace("\n", " \n").replace("Program", "Program ")) for i, (name, text) in enumerate(sorted(full.items()))],
+        ("GPL-3.0", "u/COPYING", "\n".join(full["GPL-3.0"].splitlines()[:500])),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(rows)], "file long, path string, text string")
+    got = {r.path: r.licence for r in license_scan.scan(files, key="file").collect()}
+    want = {p: name for name, p, _ in rows}
+    assert {p: (got[p], want[p]) for p in want if got[p] != want[p]} == {}
+
+
 @pytest.mark.parametrize("name", ["op4_chat_log", "op9_ring_shards", "op10_license_scan"])
 def test_native_plans_have_no_python(spark, name):
     from staywise.llm.common import QUERIES
