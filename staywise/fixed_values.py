@@ -291,5 +291,5 @@ QUERY_FOLDS = 5
 QUERY_TREES = 4
 QUERY_DEPTH = 3
 QUERY_LEARNING_RATES = (0.2, 0.3)
-#: Distinct minority points among which oversampling looks for neighbours.
+#: Distinct minority points that oversampling broadcasts; beyond, its exact search goes by cells.
 MAX_NEIGHBOUR_POINTS = 100_000

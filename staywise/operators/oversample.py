@@ -1,7 +1,8 @@
 """Minority oversampling between nearest neighbours.
 
-Oversampling looks for neighbours among a bounded number of points, exactly while the
-class has no more, so its work grows with the rows that ask.
+Oversampling looks for the exact neighbours among all points of the class, whatever its
+size: from a broadcast while the points are few, beyond by ``nearest_neighbours``. Only a
+caller who names ``max_points`` gets the neighbours within a sample.
 
 ``nearest_neighbours`` is exact among all points. Distinct points are assigned to the
 nearest of their pivots. A point first searches its own cell, which bounds its k-th
@@ -230,6 +231,16 @@ def neighbours_among(points: DataFrame, requests: DataFrame, k: int, max_points:
     return asked.mapInPandas(nearest, "pid string, near array<struct<distance: double, near: string, copies: bigint>>")
 
 
+def _neighbours(points: DataFrame, requests: DataFrame, k: int, max_points: int | None, seed: int) -> DataFrame:
+    """Exact neighbours at every size, or those within a sample where the caller names its size."""
+    if max_points is None:
+        size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+        # Both ways are exact; only how the points reach the tasks differs.
+        if size["n"] > fv.MAX_NEIGHBOUR_POINTS or size["n"] * (size["width"] or 0) * 8 > _BROADCAST_BYTES:
+            return nearest_neighbours(points, requests, k, seed)
+    return neighbours_among(points, requests, k, fv.MAX_NEIGHBOUR_POINTS if max_points is None else max_points, seed)
+
+
 def smote(
     df: DataFrame,
     features: str = "features",
@@ -237,12 +248,12 @@ def smote(
     id_column: str = fv.ID,
     neighbours: int = fv.SMOTE_NEIGHBOURS,
     seed: int = fv.SEED,
-    max_points: int = fv.MAX_NEIGHBOUR_POINTS,
+    max_points: int | None = None,
 ) -> DataFrame:
     """Originals plus synthetic minority rows until all classes are equal.
 
-    ``features`` is an array or a vector. Neighbours are looked for among ``max_points``
-    distinct minority points at most (see ``neighbours_among``). Each synthetic row is ``x + u * (near - x)`` with
+    ``features`` is an array or a vector. Neighbours are exact among all minority
+    points; ``max_points`` looks for them in a sample of that size instead (see ``neighbours_among``). Each synthetic row is ``x + u * (near - x)`` with
     ``u`` in [0, 1) and ``near`` one of the ``neighbours`` nearest points of the same class.
     Adds ``synthetic boolean``; a synthetic row has a NULL id.
     """
@@ -266,7 +277,7 @@ def smote(
     return result
 
 
-def _synthesise(minority: DataFrame, n: int, wanted: int, k: int, seed: int, max_points: int) -> DataFrame:
+def _synthesise(minority: DataFrame, n: int, wanted: int, k: int, seed: int, max_points: int | None) -> DataFrame:
     """``wanted`` synthetic points from ``n`` minority rows."""
     id_column, features = minority.columns
     # Identical rows are one point with a multiplicity: copies are each other's neighbours at
@@ -278,7 +289,7 @@ def _synthesise(minority: DataFrame, n: int, wanted: int, k: int, seed: int, max
     plan = _draws(points, n, wanted, seed)
     # Points with more than k copies have only copies as neighbours and need no search.
     search = plan.where(F.col("copies") <= k).select("pid")
-    near = neighbours_among(points, search, k, max_points, seed)
+    near = _neighbours(points, search, k, max_points, seed)
     # A neighbour counts as often as it has copies; more than k of them make no difference.
     listed = F.flatten(F.transform("near", lambda e: F.array_repeat(e["near"], F.least(e["copies"], F.lit(k)).cast("int"))))
     choices = near.select("pid", listed.alias("others"))

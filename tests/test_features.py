@@ -276,3 +276,24 @@ def test_synthetic_rows_lie_between_two_of_their_class(spark):
         along = np.clip(((p - a) * (b - a)).sum(-1) / np.maximum(((b - a) ** 2).sum(-1), 1e-300), 0, 1)
         off = np.linalg.norm(a + along[..., None] * (b - a) - p, axis=-1)
         assert off.min() < 1e-9
+
+
+def test_oversampling_searches_all_points_at_every_size(spark, monkeypatch):
+    # Six points far from the crowd: a sample of fifteen misses most of them and would aim at the crowd.
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(90, 3)), rng.normal(size=(6, 3)) + 1000, rng.normal(size=(200, 3))])
+    y = [1] * 96 + [0] * 200
+    monkeypatch.setattr(fv, "MAX_NEIGHBOUR_POINTS", 15)
+    monkeypatch.setattr(oversample, "_CELL_ROWS", 12)
+    among = oversample.neighbours_among
+    monkeypatch.setattr(oversample, "neighbours_among", lambda points, requests, k, bound, seed: among(points, requests, k, min(bound, 15), seed))
+    grown = oversample.smote(labelled(spark, x, y)).where("synthetic").collect()
+    assert len(grown) == 104
+    minority = x[:96]
+    d = np.linalg.norm(minority[:, None] - minority[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :5]
+    ends = [(minority[i], minority[j]) for i in range(96) for j in near[i]]
+    for r in grown:
+        s = np.array(r["features"])
+        assert min(np.linalg.norm(s - a) + np.linalg.norm(b - s) - np.linalg.norm(b - a) for a, b in ends) < 1e-9
