@@ -220,6 +220,43 @@ def test_enrichment_stream_is_idempotent(spark, make_customers):
     assert [(r[fv.ID], r["errors"]) for r in left] == [("bad", ["tenure: outside 0.."])]
 
 
+def test_stream_keeps_every_record_of_an_id(spark, make_customers):
+    output, source, progress = (new_folder(spark, n) for n in ("enriched", "raw", "progress"))
+    same = [{"customerID": "a", "tenure": 5, "Churn": c} for c in ("Yes", "No")]
+    rows = make_customers(*same, {"customerID": "a", "tenure": 9}, {"customerID": "a", "tenure": -1}, {"customerID": "a", "tenure": -2})
+    rows.coalesce(1).write.parquet(source)
+
+    def run(checkpoint):
+        requests = spark.readStream.schema(rows.schema).parquet(source)
+        enrich_stream(requests, output, checkpoint).awaitTermination()
+        return sorted((r["tenure"], r["Churn"]) for r in spark.read.parquet(f"{output}/done").collect())
+
+    first = run(progress)
+    assert sorted(t for t, _ in first) == [5, 5, 9] and {c for t, c in first if t == 5} == {"Yes", "No"}
+    assert sorted(r["tenure"] for r in open_rows(spark, output).collect()) == [-2, -1]
+    # Another record of a finished id comes in a later batch; a replay of all files adds nothing more.
+    make_customers({"customerID": "a", "tenure": 30}).write.mode("append").parquet(source)
+    later = run(progress)
+    assert sorted(t for t, _ in later) == [5, 5, 9, 30]
+    assert run(new_folder(spark, "progress")) == later
+    assert sorted(r["tenure"] for r in open_rows(spark, output).collect()) == [-2, -1]
+
+
+def test_stream_asks_once_for_equal_inputs(spark, make_customers):
+    output, source = new_folder(spark, "enriched"), new_folder(spark, "raw")
+    rows = make_customers(*[{"customerID": "a", "tenure": 5, "Churn": c} for c in ("Yes", "No")])
+    rows.repartition(2).write.parquet(source)
+
+    def factory():
+        import uuid
+
+        return lambda texts: ['{"ticket_note": "%s", "primary_sentiment_tag": "%s"}' % (uuid.uuid4(), fv.SENTIMENT_TAGS[0]) for _ in texts]
+
+    enrich_stream(spark.readStream.schema(rows.schema).parquet(source), output, new_folder(spark, "progress"), factory).awaitTermination()
+    done = spark.read.parquet(f"{output}/done").collect()
+    assert len(done) == 2 and len({r[fv.NOTE] for r in done}) == 1 and {r["source"] for r in done} == {"primary"}
+
+
 def test_open_rows_are_tried_again(spark, make_customers):
     output = new_folder(spark, "enriched")
     rows = make_customers({"customerID": "a"}, {"customerID": "a"}, {"customerID": "b", "tenure": -1}, {"customerID": None})
