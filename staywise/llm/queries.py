@@ -13,6 +13,7 @@ from staywise.llm import (
     mixing,
     ngram_join,
     oracles,
+    prefix_trie,
     quality_rules,
     ring_shards,
     suffix_dedup,
@@ -124,3 +125,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     opens = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).rlike(license_scan.CUE) & (F.char_length("text") < 400)
     path = F.when(opens, F.concat(top, F.lit("/LICENSE."), F.col("doc_id"))).otherwise(F.concat_ws("/", top, F.pmod("doc_id", F.lit(100)), F.concat("doc_id", F.lit(".txt"))))
     return license_scan.scan(docs.withColumn("path", path), key="doc_id")
+
+
+@query("op13_prefix_trie", oracles.TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
