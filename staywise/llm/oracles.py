@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from staywise.llm import license_scan, quality_rules
+from staywise.llm import disclosure, license_scan, quality_rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -135,3 +135,49 @@ below AS (SELECT a.id, count(*) FILTER (v.kids = 0) AS n_leaves, CAST(sum(v.save
 SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.kids AS n_children, n_leaves, saved_tokens, o.ends_sha256
 FROM own AS o JOIN below USING (id) LEFT JOIN nodes AS p ON p.id = o.up
 """
+
+_KINDS = (
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true", f"translate(v, '{_UPPER}', '{_UPPER.lower()}')"),
+    ("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0", "v"),
+    ("card", "[0-9](?:[\\x20-]?[0-9])+", """length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+        CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INT) WHEN CAST(digits[i] AS INT) < 5 THEN 2 * CAST(digits[i] AS INT) ELSE 2 * CAST(digits[i] AS INT) - 9 END)) % 10 = 0""", "digits"),
+    ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "length(digits) BETWEEN 10 AND 15", "digits"),
+)
+_FOUND = " UNION ALL ".join(
+    f"""SELECT r, {rank} AS rank, '{kind}' AS kind, p - length(v) AS start, p AS "end", '{kind}:' || {entity} AS entity, before, after
+    FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, sum(length(before) + length(v)) OVER (PARTITION BY r ORDER BY i) AS p
+          FROM (SELECT r, i, ms[i] AS v, gs[i] AS before, gs[i + 1] AS after
+                FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM d), unnest(range(1, len(ms) + 1)) AS u(i)))
+    WHERE {test}"""
+    for rank, (kind, pattern, test, entity) in enumerate(_KINDS)
+)
+_RULE = disclosure.Disclosure()
+
+PRIVATE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+sides AS (SELECT r, entity, true AS last, CASE WHEN length(before) > {disclosure.REACH} THEN regexp_replace(right(before, {disclosure.REACH}), '^[^ 	-]*', '') ELSE before END AS c, start AS base FROM found
+          UNION ALL SELECT r, entity, false, CASE WHEN length(after) > {disclosure.REACH} THEN regexp_replace(left(after, {disclosure.REACH}), '[^ 	-]*$', '') ELSE after END, "end" FROM found),
+cut AS (SELECT *, regexp_extract_all(c, '[^ 	-]+') AS ws, regexp_split_to_array(c, '[^ 	-]+') AS gs FROM sides),
+placed AS (SELECT r, entity, ws[i] AS w, CASE WHEN last THEN base - length(c) ELSE base END
+                  + list_sum(list_transform(range(1, i + 1), lambda k: length(gs[k]) + length(ws[k]))) - length(ws[i]) AS s
+           FROM cut, unnest(range(1, len(ws) + 1)) AS u(i) WHERE CASE WHEN last THEN i > len(ws) - {disclosure.WINDOW} ELSE i <= {disclosure.WINDOW} END),
+near AS (SELECT DISTINCT r, entity, translate(regexp_extract(w, '{disclosure.TERM.replace("'", "''")}', 1), '{_UPPER}', '{_UPPER.lower()}') AS term,
+                CAST(s + length(regexp_extract(w, '^([^\p{{L}}\d@]*)', 1)) AS BIGINT) AS start FROM placed WHERE regexp_matches(w, '{disclosure.TERM.replace("'", "''")}')),
+pairs AS (SELECT entity, term, left(term, {_RULE.letters}) AS general, count(*) AS near, count(DISTINCT t) AS texts FROM near JOIN d USING (r) GROUP BY ALL),
+around AS (SELECT entity, sum(near) AS around FROM pairs GROUP BY entity),
+spoken AS (SELECT translate(regexp_extract(w, '{disclosure.TERM.replace("'", "''")}', 1), '{_UPPER}', '{_UPPER.lower()}') AS term FROM d, unnest(regexp_extract_all(t, '[^ 	-]+')) AS u(w)
+           WHERE regexp_matches(w, '{disclosure.TERM.replace("'", "''")}')),
+counts AS (SELECT term, count(*) AS c FROM spoken GROUP BY term),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM spoken),
+telling AS (SELECT term, entity FROM pairs JOIN around USING (entity) JOIN counts USING (term), total
+            WHERE texts >= {_RULE.support} AND around < n AND round(log2(near * n / (c * around)) / log2(n / around), 6) >= {_RULE.threshold}),
+terms AS (SELECT DISTINCT r, 4 AS rank, 'term' AS kind, start, start + length(term) AS "end" FROM near JOIN telling USING (term, entity)),
+spans AS (SELECT r, rank, kind, start, "end" FROM found UNION ALL SELECT * FROM terms),
+told AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+                count(*) FILTER (kind = 'term') AS n_terms, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
+                string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM d LEFT JOIN told USING (r)
+"""

@@ -9,6 +9,7 @@ from staywise.llm import (
     block_labeller,
     chat_log,
     decontaminate,
+    disclosure,
     license_scan,
     mixing,
     ngram_join,
@@ -130,3 +131,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_prefix_trie", oracles.TRIE)
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_disclosure", oracles.PRIVATE)
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = disclosure.spans_of(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    words = F.transform("words", lambda w: F.struct(w["start"], F.lit(len(disclosure.KINDS)).alias("rank"), F.lit("term").alias("kind"), w["end"]))
+    return marked.select(
+        "doc_id",
+        *[count(k) for k in disclosure.KINDS],
+        F.sha2(said(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
+        said(F.array_sort(F.concat("spans", words))).alias("spans"),
+        F.size("words").cast("long").alias("n_terms"),
+    )
