@@ -156,9 +156,13 @@ _RULE = disclosure.Disclosure()
 PRIVATE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({_FOUND}),
-sides AS (SELECT r, entity, true AS last, CASE WHEN length(before) > {disclosure.REACH} THEN regexp_replace(right(before, {disclosure.REACH}), '^[^ 	-]*', '') ELSE before END AS c, start AS base FROM found
-          UNION ALL SELECT r, entity, false, CASE WHEN length(after) > {disclosure.REACH} THEN regexp_replace(left(after, {disclosure.REACH}), '[^ 	-]*$', '') ELSE after END, "end" FROM found),
-cut AS (SELECT *, regexp_extract_all(c, '[^ 	-]+') AS ws, regexp_split_to_array(c, '[^ 	-]+') AS gs FROM sides),
+sides AS (SELECT r, entity, true AS last, CASE WHEN length(before) > {disclosure.REACH} THEN regexp_replace(right(before, {disclosure.REACH}), '^[^ 	-
+]*', '') ELSE before END AS c, start AS base FROM found
+          UNION ALL SELECT r, entity, false, CASE WHEN length(after) > {disclosure.REACH} THEN regexp_replace(left(after, {disclosure.REACH}), '[^ 	-
+]*$', '') ELSE after END, "end" FROM found),
+cut AS (SELECT *, regexp_extract_all(c, '[^ 	-
+]+') AS ws, regexp_split_to_array(c, '[^ 	-
+]+') AS gs FROM sides),
 placed AS (SELECT r, entity, ws[i] AS w, CASE WHEN last THEN base - length(c) ELSE base END
                   + list_sum(list_transform(range(1, i + 1), lambda k: length(gs[k]) + length(ws[k]))) - length(ws[i]) AS s
            FROM cut, unnest(range(1, len(ws) + 1)) AS u(i) WHERE CASE WHEN last THEN i > len(ws) - {disclosure.WINDOW} ELSE i <= {disclosure.WINDOW} END),
@@ -166,7 +170,8 @@ near AS (SELECT DISTINCT r, entity, translate(regexp_extract(w, '{disclosure.TER
                 CAST(s + length(regexp_extract(w, '^([^\p{{L}}\d@]*)', 1)) AS BIGINT) AS start FROM placed WHERE regexp_matches(w, '{disclosure.TERM.replace("'", "''")}')),
 pairs AS (SELECT entity, term, left(term, {_RULE.letters}) AS general, count(*) AS near, count(DISTINCT t) AS texts FROM near JOIN d USING (r) GROUP BY ALL),
 around AS (SELECT entity, sum(near) AS around FROM pairs GROUP BY entity),
-spoken AS (SELECT translate(regexp_extract(w, '{disclosure.TERM.replace("'", "''")}', 1), '{_UPPER}', '{_UPPER.lower()}') AS term FROM d, unnest(regexp_extract_all(t, '[^ 	-]+')) AS u(w)
+spoken AS (SELECT translate(regexp_extract(w, '{disclosure.TERM.replace("'", "''")}', 1), '{_UPPER}', '{_UPPER.lower()}') AS term FROM d, unnest(regexp_extract_all(t, '[^ 	-
+]+')) AS u(w)
            WHERE regexp_matches(w, '{disclosure.TERM.replace("'", "''")}')),
 counts AS (SELECT term, count(*) AS c FROM spoken GROUP BY term),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM spoken),
@@ -181,3 +186,26 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
 FROM d LEFT JOIN told USING (r)
 """
+
+PHRASES = rf"""
+WITH RECURSIVE pieces AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws
+    FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents), unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS u(p)),
+f AS (SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS phrase, k AS words, count(*) AS f FROM pieces, unnest(range(1, 6)) AS x(k), unnest(range(1, len(ws) - k + 2)) AS y(i) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cand AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, h.f AS l, t.f AS r, n, CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+         FROM cand AS c, unnest(range(1, c.words)) AS u(k) JOIN f AS h ON h.lang = c.lang AND h.phrase = array_to_string(w[1 : k], ' ')
+         JOIN f AS t ON t.lang = c.lang AND t.phrase = array_to_string(w[k + 1 : c.words], ' ') JOIN total ON total.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS whole FROM cand, unnest(range(2, words)) AS x(m), unnest(range(1, words - m + 2)) AS y(i) GROUP BY ALL),
+e AS (SELECT lang, phrase, a, array_to_string(w[1 : 4], ' ') AS src, array_to_string(w[2 : 5], ' ') AS dst FROM cand WHERE words = 5),
+steps AS (SELECT v.lang, i.phrase AS before, o.phrase AS after FROM cand AS v JOIN e AS i ON i.lang = v.lang AND i.dst = v.phrase AND i.a = v.a JOIN e AS o ON o.lang = v.lang AND o.src = v.phrase AND o.a = v.a
+          WHERE words = 4 AND i.phrase <> o.phrase),
+walk AS (SELECT lang, phrase, phrase AS seen, 0 AS k FROM e UNION ALL SELECT w.lang, w.phrase, after, k + 1 FROM walk AS w JOIN steps AS s ON s.lang = w.lang AND s.before = w.seen),
+ahead AS (SELECT lang, phrase, max(k) AS ahead, max_by(seen, k) AS last FROM walk GROUP BY ALL),
+path AS (SELECT lang, phrase, CAST(max(ahead) OVER (PARTITION BY lang, last) + 5 AS BIGINT) AS path_words FROM ahead),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+           FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE whole IS NULL OR whole < a)
+SELECT lang, rank, phrase, a, l, r, n, score, path_words FROM ranked LEFT JOIN path USING (lang, phrase) WHERE rank <= 2000
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from staywise.llm import (
     block_labeller,
     chat_log,
+    collocations,
     decontaminate,
     disclosure,
     license_scan,
@@ -146,3 +147,9 @@ def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         said(F.array_sort(F.concat("spans", words))).alias("spans"),
         F.size("words").cast("long").alias("n_terms"),
     )
+
+
+@query("op11_collocations", oracles.PHRASES)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = collocations.top(collocations.mine(table(spark, sf_dir, "documents")), first=2000)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "path_words")
