@@ -23,8 +23,8 @@ of a set on two pieces of a part: three per part, and linked sets share at least
    so no link between components is missed.
 
 Cases: null and empty texts have an empty set and link with nothing; fewer words than ``width``
-are one feature; rows of one document id are one document, a null id stands for its text;
-repeated rows are counted once in step 2 and returned as often as they come; an empty table
+are one feature; rows of one id with different texts are documents of their own with that id, a null id
+stands for its text; texts of any length are taken whole; of equal texts the least id names the set; repeated rows are counted once in step 2 and returned as often as they come; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -290,23 +290,35 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps its least document, once."""
-    known = _settled(docs, key, text, width, percent)
-    first = known.filter(F.col("doc") == F.coalesce("root", "doc")).select(F.col("doc").alias("__doc")).distinct()
-    own = docs.withColumn("__doc", _document(key, text))
-    return own.join(first, "__doc").dropDuplicates(["__doc"]).select(*docs.columns)
+    """The rows of ``docs`` that stay when each component keeps its least document, once.
+
+    A document is an id and a text: rows of one id with different texts are judged apart.
+    """
+    known = written(_settled(docs, key, text, width, percent).select("doc", "print", "root"), "gram-known")
+    linked = known.filter(F.col("root").isNotNull())
+    first = linked.groupBy("root").agg(F.min(F.struct("doc", "print")).alias("first")).select("first.doc", "first.print")
+    names = ["__doc", "__print"]
+    gone = linked.select("doc", "print").distinct().join(first, ["doc", "print"], "left_anti")
+    gone = written(gone.toDF(*names), "gram-gone")
+    twice = written(known.groupBy("doc", "print").count().filter("count > 1").select("doc", "print").toDF(*names), "gram-twice")
+    own = docs.withColumns({"__doc": _document(key, text), "__print": F.xxhash64(F.col(text).cast("string"))}).join(gone, names, "left_anti")
+    once = own.join(twice, names, "left_anti").unionByName(own.join(twice, names, "left_semi").dropDuplicates(names))
+    return once.select(*docs.columns)
 
 
 def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """A row per input row: doc_id, doc, n (features), root (least document of the component), component_id, n_links."""
+    """A row per input row: doc_id, doc, print (of its text), n (features), root (a node of the component), component_id, n_links."""
     spark = docs.sparkSession
     ship_code(spark)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _document(key, text).alias("doc"), F.xxhash64(body).alias("print"), body.alias("text"))
     named = "doc_id long, doc long, print long, n long, h1 long, h2 long, parity array<bigint>, wide binary"
     sets = written(rows.mapInArrow(partial(_fingerprints, width=width), named), "gram-sets")
-    nodes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min(F.struct("doc", "print")).alias("from"), F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
-    nodes = written(nodes, "gram-nodes")
+    nodes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min(F.struct("doc", "print")).alias("from"), F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
+    # A node is called after its least document; where an id has several texts, one node has its name.
+    first = nodes.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("first"))
+    name = F.when(F.struct("h1", "h2") == F.col("first"), F.col("doc")).otherwise(F.xxhash64("doc", "h1", "h2"))
+    nodes = written(nodes.join(first, "doc").withColumn("node", name).drop("doc", "first"), "gram-nodes")
 
     signed = rows.select("text").mapInArrow(partial(_signed, width=width, percent=percent), "sig long, set long, parent long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", F.col("parent").asc_nulls_first(), "set")
@@ -333,7 +345,8 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         candidates = sketched.mapInArrow(partial(_possible, percent=percent), "a long, b long").distinct()
         candidates = written(candidates, "gram-possible")
         need = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(need, "node").dropDuplicates(["node"]).select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print"))
+        # Written, so that Spark knows its size before it deals out the texts.
+        wanted = written(nodes.join(need, "node").select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print")), "gram-wanted")
         found = rows.select("doc", "print", "text").join(wanted, ["doc", "print"]).dropDuplicates(["doc", "print"])
         texts = written(found.select("node", "text"), "gram-texts")
         held = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -383,4 +396,4 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     rooted = nodes.drop("parity", "wide").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").join(degree, "node", "left").select("h1", "h2", "root", "component_id", "n_links")
-    return sets.join(known, ["h1", "h2"], "left").select("doc_id", "doc", "n", "root", "component_id", "n_links")
+    return sets.join(known, ["h1", "h2"], "left").select("doc_id", "doc", "print", "n", "root", "component_id", "n_links")

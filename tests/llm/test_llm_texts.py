@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_rows import awkward, cut_bytes, empty, grams, linked_groups, prose
 from staywise.llm import components, decontaminate, ngram_join, quality_rules, suffix_dedup
@@ -119,6 +120,25 @@ def test_link_that_no_tree_edge_shows_is_found(spark):
     assert got == linked_groups(sets, 90)
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    """Rows of an id stay unless their own text repeats; equal rows stay once."""
+    a, b, c = (prose(k, 80) for k in (61, 62, 63))
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, c), (1, c + " tail"), (4, None), (4, ""), (None, b), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("print", F.lit("own"))
+    stay = ngram_join.keep_one(docs, width=5, percent=80)
+    assert stay.columns == docs.columns
+    got = sorted(((r.doc_id or 0), r.text or "") for r in stay.collect())
+    # c's text is told from its copy by the least id, 1; the text without an id is called by its hash.
+    least = min((1, b), (hash_of(spark, b), b))
+    assert got == sorted([(1, a), (1 if least[0] == 1 else 0, b), (1, c + " tail"), (4, ""), (4, ""), (0, "")])
+    joined = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.join_components(docs, width=5, percent=80).collect() if r.doc_id}
+    assert joined[2, 77] == 1 and joined[3, 76] == 1
+
+
+def hash_of(spark, text: str) -> int:
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
