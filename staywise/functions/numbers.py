@@ -78,16 +78,17 @@ def money_text(c: Column) -> Column:
     from its shortest decimal form.
     """
     number = c.cast("double")
-    huge = F.isnan(number) | (F.abs(number) >= F.lit(2.0**62))
-    magnitude = F.when(huge, 0.0).otherwise(F.abs(number))
+    magnitude = F.least(F.abs(number), F.lit(2.0**62))  # NaN is above every number
     units = F.floor(magnitude)
     cents = _scaled_integer(magnitude - units, 2)
     sign = F.repeat(F.lit("-"), (number < 0).cast("int"))
     whole = (units + F.call_function("div", cents, F.lit(100))).cast("string")
     plain = F.concat(sign, whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    huge = F.abs(number) >= F.lit(2.0**62)
     endless = F.concat(sign, F.lit("inf"))
     large = F.when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), endless).otherwise(F.format_string("%.2f", number))
-    return F.when(huge, large).otherwise(plain)
+    # Taken from an array: in a branch, codegen would evaluate the shared parts of ``plain`` anew for each use.
+    return F.get(F.array(plain, F.when(huge, large)), huge.cast("int"))
 
 
 def at_least(probability: Column, threshold: float) -> Column:
