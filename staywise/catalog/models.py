@@ -6,6 +6,8 @@ spends the ``QUERY_*`` parameters; ``TrainingPlan()`` is the full plan.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from staywise.plans.training import (
     TrainingPlan,
     TreeSettings,
     balanced,
+    draw_settings,
     fit_meta,
     out_of_fold,
     score_branch,
@@ -35,12 +38,18 @@ from staywise.session import new_folder, written
 from staywise.sources.landing import path_stamp
 from staywise.streaming.jobs import score_stream
 
-_TRIALS = tuple(TreeSettings(trees=fv.QUERY_TREES, depth=fv.QUERY_DEPTH, learning_rate=r) for r in fv.QUERY_LEARNING_RATES)
+
+
+def _trials(trials: int) -> tuple[TreeSettings, ...]:
+    """The full plan's draws, with no more trees than a query may spend on one model."""
+    return tuple(replace(s, trees=min(s.trees, fv.QUERY_MOST_TREES)) for s in draw_settings(trials, fv.SEED))
+
+
 BUDGET = TrainingPlan(
     folds=fv.QUERY_FOLDS,
     oof=TreeSettings(trees=fv.QUERY_TREES, depth=fv.QUERY_DEPTH),
-    structured_candidates=_TRIALS,
-    text_candidates=_TRIALS,
+    structured_candidates=_trials(fv.STRUCTURED_TRIALS),
+    text_candidates=_trials(fv.TEXT_TRIALS),
 )
 
 _ENRICHED: dict[tuple, DataFrame] = {}
@@ -103,8 +112,8 @@ def search_recall(spark, sf):
     rows = built(spark, sf).rows
     train = training_rows(rows, "train")
     found = search(balanced(train, "structured", fv.SEED), training_rows(rows, "val"), "structured", BUDGET.candidates("structured"))
-    tried = [(i, s.trees, s.depth, s.learning_rate, r, s == found.best) for i, (s, r) in enumerate(found.recalls)]
-    return spark.createDataFrame(tried, "trial int, trees int, depth int, learning_rate double, recall double, best boolean")
+    tried = [(i, s.trees, given, s.depth, s.learning_rate, r, s == found.best) for i, (s, given, r) in enumerate(found.recalls)]
+    return spark.createDataFrame(tried, "trial int, trees int, given int, depth int, learning_rate double, recall double, best boolean")
 
 
 @query("late_fusion_report")
@@ -201,8 +210,7 @@ def attribution_adds_up(spark, sf):
     build, model = built(spark, sf), trained(spark, sf)
     rows = score_branch(build.rows.select(fv.ID, "structured"), model.structured, "structured", "p")
     explained = attribution.attribute(rows, model.structured, build.structured.names(), "structured", [fv.ID, "p"])
-    # Spark's boosted trees map a margin m to 1 / (1 + exp(-2 m)).
-    expected = F.lit(1.0) / (F.lit(1.0) + F.exp(-2 * F.col("margin")))
+    expected = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
     return explained.select(fv.ID, (F.abs(expected - F.col("p")) < 1e-9).alias("adds_up"))
 
 

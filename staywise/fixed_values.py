@@ -259,6 +259,8 @@ SEARCH_SPACE = {
     "row_share": (0.6, 1.0),
     "column_share": (0.6, 1.0),
     "min_child": (1, 10),
+    "l1": (1e-8, 1.0),
+    "l2": (1e-8, 1.0),
 }
 
 # --- Fixed values: monitoring limits ---------------------------------------------------
@@ -288,8 +290,11 @@ MAX_GROUPS = 1000
 #: What the registered model queries spend on a fit. The library's own defaults are FOLDS, OOF_TREES,
 #: STRUCTURED_TRIALS and TEXT_TRIALS above; README states what those cost.
 QUERY_FOLDS = 5
-QUERY_TREES = 4
-QUERY_DEPTH = 3
-QUERY_LEARNING_RATES = (0.2, 0.3)
+QUERY_TREES = 300
+QUERY_DEPTH = 5
+QUERY_MOST_TREES = 600
+#: Numbers of trees at which a search judges its candidates, and the share of them that goes on.
+SEARCH_RUNGS = (25, 75, 225)
+SEARCH_KEEP = 1 / 3
 #: Distinct minority points that oversampling broadcasts; beyond, its exact search goes by cells.
 MAX_NEIGHBOUR_POINTS = 100_000

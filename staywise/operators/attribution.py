@@ -1,73 +1,28 @@
 """What a boosted-tree model attends to: importances and per-row contributions.
 
 Contributions are path-dependent Shapley values (Lundberg et al. 2018). For one
-leaf the game only involves the features on its path: with z the share of training
-rows that follow a split and o = 1 where the row itself follows it, the weight of a
+leaf the game only involves the features on its path: with z the share of the training
+weight that follow a split and o = 1 where the row itself follows it, the weight of a
 feature is a sum over subset sizes of the other features. That sum is carried as a
-polynomial in the subset size, for all rows of an Arrow batch at once.
+polynomial in the subset size, once for all rows of an Arrow batch that follow the same splits.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
+from staywise.operators.tree_model import Leaf, TreeModel
 from staywise.session import ship_code
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """A leaf: its value, and per feature on its path the bounds and the share of rows kept."""
-
-    value: float
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    kept: np.ndarray
-
-
-def tree_leaves(model: GBTClassificationModel) -> list[Leaf]:
-    """All leaves of all trees, values scaled by tree weight."""
-    leaves: list[Leaf] = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        _walk(tree._java_obj.rootNode(), {}, float(weight), leaves)
-    return leaves
-
-
-def _walk(node, path: dict, weight: float, leaves: list[Leaf]) -> None:
-    if node.subtreeDepth() == 0:
-        names = sorted(path)
-        bounds = [path[f] for f in names]
-        leaves.append(
-            Leaf(
-                weight * float(node.prediction()),
-                np.array(names, dtype=int),
-                np.array([b[0] for b in bounds], dtype=float),
-                np.array([b[1] for b in bounds], dtype=float),
-                np.array([b[2] for b in bounds], dtype=float),
-            )
-        )
-        return
-    split = node.split()
-    feature, threshold = int(split.featureIndex()), float(split.threshold())
-    total = float(node.impurityStats().count())
-    low, high, kept = path.get(feature, (-math.inf, math.inf, 1.0))
-    for child, bounds in (
-        (node.leftChild(), (low, min(high, threshold))),
-        (node.rightChild(), (max(low, threshold), high)),
-    ):
-        share = float(child.impurityStats().count()) / total
-        _walk(child, {**path, feature: (*bounds, kept * share)}, weight, leaves)
-
-
 def _subset_weights(size: int) -> np.ndarray:
     return np.array([math.factorial(s) * math.factorial(size - s - 1) / math.factorial(size) for s in range(size)])
 
@@ -77,33 +32,54 @@ def contributions(x: np.ndarray, leaves: list[Leaf]) -> tuple[np.ndarray, float]
     rows, width = x.shape
     phi, base = np.zeros((rows, width)), 0.0
     for leaf in leaves:
-        size = len(leaf.features)
         base += leaf.value * float(np.prod(leaf.kept))
-        if not size:
+        if not len(leaf.features):
             continue
         cells = x[:, leaf.features]
-        follows = ((cells > leaf.low) & (cells <= leaf.high)).astype(float)
-        weights = _subset_weights(size)
-        for i in range(size):
-            # poly[:, s]: total over subsets of size s of the other features.
-            poly = np.zeros((rows, size))
-            poly[:, 0] = 1.0
-            for j in range(size):
-                if j != i:
-                    shifted = np.zeros_like(poly)
-                    shifted[:, 1:] = poly[:, :-1] * follows[:, j : j + 1]
-                    poly = poly * leaf.kept[j] + shifted
-            phi[:, leaf.features[i]] += leaf.value * (follows[:, i] - leaf.kept[i]) * (poly @ weights)
+        # NaN lies below every threshold, as in the trees.
+        follows = np.where(np.isnan(cells), np.isneginf(leaf.low), (cells > leaf.low) & (cells <= leaf.high))
+        # Rows that follow the same splits share their values.
+        codes = follows @ (1 << np.arange(len(leaf.features)))
+        present, place = np.unique(codes, return_inverse=True)
+        patterns = (present[:, None] >> np.arange(len(leaf.features))) & 1
+        phi[:, leaf.features] += leaf.value * _pattern_weights(patterns.astype(float), leaf.kept)[place]
     return phi, base
 
 
-def attribute(df: DataFrame, model: GBTClassificationModel, names: list[str], features: str, keep: list[str]) -> DataFrame:
+def _pattern_weights(follows: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Shapley values of each feature of a unit leaf, for rows of 0/1 that say which splits are followed.
+
+    The product of ``kept_j + follows_j * z`` over all features is built once, and a feature's own
+    factor is divided out again: a square number of steps for all features of the leaf together.
+    """
+    n, size = follows.shape
+    whole = np.zeros((n, size + 1))
+    whole[:, 0] = 1.0
+    for j in range(size):
+        shifted = np.zeros_like(whole)
+        shifted[:, 1:] = whole[:, :-1] * follows[:, j : j + 1]
+        whole = whole * kept[j] + shifted
+    weights = _subset_weights(size)
+    out = np.zeros((n, size))
+    for i in range(size):
+        rest = np.zeros((n, size))
+        rest[:, -1] = whole[:, -1]
+        for k in range(size - 1, 0, -1):
+            rest[:, k - 1] = whole[:, k] - kept[i] * rest[:, k]
+        # Without the split, the factor is a number; where that is 0 the feature changes nothing.
+        plain = whole[:, :-1] / kept[i] if kept[i] > 0 else np.zeros((n, size))
+        rest = np.where(follows[:, i : i + 1] > 0, rest, plain)
+        out[:, i] = (follows[:, i] - kept[i]) * (rest @ weights)
+    return out
+
+
+def attribute(df: DataFrame, model: TreeModel, names: list[str], features: str, keep: list[str]) -> DataFrame:
     """Add ``base``, ``margin`` and ``contributions array<struct<feature, value>>``.
 
     ``features`` is ``array<double>``; contributions plus base equal the raw margin.
     """
     ship_code(df.sparkSession)
-    leaves = tree_leaves(model)
+    leaves = model.leaves()
     context = df.sparkSession.sparkContext
     # The model itself: trees x leaves, independent of the data.
     shared = context.broadcast(leaves)
@@ -139,9 +115,9 @@ def linear_contributions(model: LogisticRegressionModel, means: list[float], col
     ]
 
 
-def top_importances(model: GBTClassificationModel, df: DataFrame, names: list[str] | None, k: int = fv.TOP_IMPORTANCES) -> DataFrame:
+def top_importances(model: TreeModel, df: DataFrame, names: list[str] | None, k: int = fv.TOP_IMPORTANCES) -> DataFrame:
     """The ``k`` most important features; nameless ones are called feature_i."""
-    values = model.featureImportances.toArray()
+    values = model.importances()
     rows = [(names[i] if names else f"feature_{i}", float(v)) for i, v in enumerate(values)]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), F.asc("feature")).limit(k)

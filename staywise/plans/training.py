@@ -4,33 +4,31 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise import fixed_values as fv
 from staywise.functions.vectors import as_vector
+from staywise.operators.boosting import Settings, Trainer
 from staywise.operators.clean import encode_target
-from staywise.operators.measures import confusion_matrix, with_rates
 from staywise.operators.oversample import smote
 from staywise.operators.splits import stratified_folds
-from staywise.session import work_root, written
+from staywise.operators.tree_model import TreeModel, matrix, probability
+from staywise.session import ship_code, work_root, written
 
 BRANCHES = ("structured", "text")
 
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Settings of the boosted trees, named as Spark names them."""
+    """Settings of the boosted trees of one model."""
 
     trees: int = fv.OOF_TREES
     depth: int = 5
@@ -38,51 +36,39 @@ class TreeSettings:
     row_share: float = 1.0
     column_share: float = 1.0
     min_child: int = 1
+    l1: float = 0.0
+    l2: float = 1.0
 
-    def classifier(self, features: str, seed: int) -> GBTClassifier:
-        return GBTClassifier(
-            featuresCol=features,
-            labelCol="label",
-            maxIter=self.trees,
-            maxDepth=self.depth,
-            stepSize=self.learning_rate,
-            subsamplingRate=self.row_share,
-            featureSubsetStrategy="all" if self.column_share >= 1.0 else str(round(self.column_share, 4)),
-            minInstancesPerNode=self.min_child,
-            checkpointInterval=10,
-            seed=seed,
-        )
+    def boosting(self, seed: int, left_out: int | None = None) -> Settings:
+        shares = (self.row_share, self.column_share, float(self.min_child), self.l1, self.l2)
+        return Settings(self.trees, self.depth, self.learning_rate, *shares, left_out, seed)
 
 
 @dataclass(frozen=True)
 class StackedModel:
-    structured: GBTClassificationModel
-    text: GBTClassificationModel
+    structured: TreeModel
+    text: TreeModel
     meta: LogisticRegressionModel
 
     def save(self, path: str) -> None:
-        for name in ("structured", "text", "meta"):
-            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        """Each branch as a table of nodes, the stacking model as Spark writes it."""
+        for name in BRANCHES:
+            getattr(self, name).save(SparkSession.active(), f"{path}/{name}")
+        self.meta.write().overwrite().save(f"{path}/meta")
 
     @staticmethod
     def load(path: str) -> StackedModel:
-        return StackedModel(
-            GBTClassificationModel.load(f"{path}/structured"),
-            GBTClassificationModel.load(f"{path}/text"),
-            LogisticRegressionModel.load(f"{path}/meta"),
-        )
+        branches = (TreeModel.load(SparkSession.active(), f"{path}/{name}") for name in BRANCHES)
+        return StackedModel(*branches, LogisticRegressionModel.load(f"{path}/meta"))
 
 
 def positive_probability(column: str = "probability") -> Column:
     return vector_to_array(F.col(column))[1]
 
 
-def score_branch(df: DataFrame, model: GBTClassificationModel, array: str, output: str) -> DataFrame:
+def score_branch(df: DataFrame, model: TreeModel, array: str, output: str) -> DataFrame:
     """Add the positive-class probability of one branch."""
-    vectored = df.withColumn("_features", as_vector(F.col(array)))
-    model = model.setFeaturesCol("_features")
-    scored = model.transform(vectored).withColumn("_p", positive_probability())
-    return scored.drop("_features", "rawPrediction", "probability", "prediction").withColumnRenamed("_p", output)
+    return df.withColumn(output, probability(df.sparkSession, [model], array))
 
 
 def training_rows(features: DataFrame, split: str) -> DataFrame:
@@ -96,61 +82,56 @@ def balanced(train: DataFrame, branch: str, seed: int) -> DataFrame:
     return written(rows.select("label", "features"), f"balanced-{branch}")
 
 
-def _fit(rows: DataFrame, array: str, settings: TreeSettings, seed: int) -> GBTClassificationModel:
-    vectored = rows.select("label", as_vector(F.col(array)).alias("_features"))
-    return settings.classifier("_features", seed).fit(vectored)
-
-
 def out_of_fold(
     train: DataFrame,
     folds: int = fv.FOLDS,
     settings: TreeSettings | None = None,
     seed: int = fv.SEED,
-    parallelism: int = 4,
+    parallelism: int = 2,
 ) -> DataFrame:
     """(id, label, fold, p_struct, p_nlp): each row scored by models that never saw its fold.
 
-    Folds are the same for both branches and cut from the rows before oversampling.
-    Fits run side by side as Spark jobs of one session.
+    Folds are the same for both branches and cut from the rows before oversampling. A branch's
+    models grow in the same scans; the branches run side by side as Spark jobs of one session.
     """
     settings = settings or TreeSettings()
-    work_root(train.sparkSession)
-    folded = written(stratified_folds(train, label="label", folds=folds, seed=seed), "folds", ["fold"])
+    spark = train.sparkSession
+    work_root(spark)
+    folded = written(stratified_folds(train, label="label", folds=folds, seed=seed), "folds")
 
-    def fit(task: tuple[int, str]) -> GBTClassificationModel:
-        fold, branch = task
-        return _fit(folded.where(F.col("fold") != fold), branch, settings, seed)
+    def fit(branch: str) -> list[TreeModel]:
+        rows = folded.withColumn("key", F.xxhash64(fv.ID))
+        trainer = Trainer(rows, branch, [settings.boosting(seed, fold) for fold in range(folds)])
+        trainer.grow(settings.trees)
+        return [TreeModel.of(m) for m in trainer.fitted]
 
-    tasks = [(fold, branch) for fold in range(folds) for branch in BRANCHES]
     with ThreadPoolExecutor(parallelism) as pool:
-        models = dict(zip(tasks, pool.map(fit, tasks)))
-    parts = []
-    for fold in range(folds):
-        held = folded.where(F.col("fold") == fold)
-        held = score_branch(held, models[(fold, "structured")], "structured", "p_struct")
-        held = score_branch(held, models[(fold, "text")], "text", "p_nlp")
-        parts.append(held.select(fv.ID, "label", F.col("fold").cast("long").alias("fold"), "p_struct", "p_nlp"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        structured, text = pool.map(fit, BRANCHES)
+    own = F.col("fold").cast("int")
+    return folded.select(
+        fv.ID, "label", F.col("fold").cast("long").alias("fold"),
+        probability(spark, structured, "structured", own).alias("p_struct"),
+        probability(spark, text, "text", own).alias("p_nlp"),
+    )
 
 
 def draw_settings(trials: int, seed: int, space: dict | None = None) -> list[TreeSettings]:
-    """Seeded random draws from the search space; the learning rate is drawn on a log scale."""
+    """Seeded random draws from the search space; the learning rate and the penalties are drawn on a log scale."""
     space = space or fv.SEARCH_SPACE
     rng = random.Random(seed)
     drawn = []
     for _ in range(trials):
-        low, high = (math.log(v) for v in space["learning_rate"])
+        spread = lambda name: math.exp(rng.uniform(*(math.log(v) for v in space[name])))
         drawn.append(
             TreeSettings(
                 trees=rng.randint(*space["trees"]),
                 depth=rng.randint(*space["depth"]),
-                learning_rate=math.exp(rng.uniform(low, high)),
+                learning_rate=spread("learning_rate"),
                 row_share=rng.uniform(*space["row_share"]),
                 column_share=rng.uniform(*space["column_share"]),
                 min_child=rng.randint(*space["min_child"]),
+                l1=spread("l1"),
+                l2=spread("l2"),
             )
         )
     return drawn
@@ -158,9 +139,37 @@ def draw_settings(trials: int, seed: int, space: dict | None = None) -> list[Tre
 
 @dataclass(frozen=True)
 class SearchResult:
-    model: GBTClassificationModel
+    model: TreeModel
     best: TreeSettings
-    recalls: list[tuple[TreeSettings, float]]
+    #: Per candidate: its settings, the trees it was given, and its recall with them.
+    recalls: list[tuple[TreeSettings, int, float]]
+
+
+def staged_recalls(validation: DataFrame, branch: str, models: list[TreeModel], stages: list[list[int]]) -> list[list[float]]:
+    """Recall of every model with its first so many trees, for each number asked: one scan of the rows for all."""
+    spark = validation.sparkSession
+    ship_code(spark)
+    shared = spark.sparkContext.broadcast((models, stages))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, stages = shared.value
+        hits = [[0] * len(own) for own in stages]
+        for batch in batches:
+            x = batch["x"][batch["label"] == 1]
+            for k, (model, own) in enumerate(zip(models, stages)):
+                values = matrix(x, model.width)
+                for j, trees in enumerate(own):
+                    cut = TreeModel(model.width, *(a[:trees] for a in (model.feature, model.threshold, model.value, model.gain, model.cover)))
+                    hits[k][j] += int((cut.margins(values) >= math.log(fv.DECISION_THRESHOLD / (1 - fv.DECISION_THRESHOLD))).sum())
+        yield pd.DataFrame([(k, j, n) for k, own in enumerate(hits) for j, n in enumerate(own)], columns=["model", "stage", "hits"])
+
+    rows = validation.select(F.col("label").cast("int").alias("label"), F.col(branch).alias("x"))
+    positives = rows.filter("label = 1").count()
+    found = rows.mapInPandas(judge, "model int, stage int, hits long").groupBy("model", "stage").agg(F.sum("hits").alias("hits")).collect()
+    out = [[0.0] * len(own) for own in stages]
+    for r in found:
+        out[r["model"]][r["stage"]] = r["hits"] / positives if positives else 0.0
+    return out
 
 
 def search(
@@ -169,25 +178,33 @@ def search(
     branch: str,
     candidates: list[TreeSettings],
     seed: int = fv.SEED,
-    parallelism: int = 4,
+    rungs: tuple[int, ...] = fv.SEARCH_RUNGS,
+    keep: float = fv.SEARCH_KEEP,
 ) -> SearchResult:
-    """Fit every candidate on the oversampled rows, keep the best recall on untouched validation rows.
+    """All candidates grown side by side on the oversampled rows, the best recall on untouched validation rows kept.
 
     ``train`` has ``label`` and ``features``; ``validation`` has ``label`` and the branch array.
-    A fit is a function of data, settings and seed, so the best candidate's model is the refit.
+    At each rung (a number of trees) all that still grow are judged, and the share ``keep`` with the best
+    recalls goes on; a candidate that has all its trees stays with its recall. Without rungs every
+    candidate gets all its trees. A candidate's first trees are the same whatever follows, so its recall
+    is that of a fit of its own with as many trees. Ties go to the first candidate.
     """
-
-    def attempt(settings: TreeSettings) -> tuple[GBTClassificationModel, float]:
-        model = _fit(train, "features", settings, seed)
-        scored = score_branch(validation.select("label", branch), model, branch, "p")
-        judged = scored.withColumn("prediction", F.when(F.col("p") >= fv.DECISION_THRESHOLD, 1).otherwise(0))
-        row = with_rates(confusion_matrix(judged, [])).first()
-        return model, float(row["recall"])
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        tried = list(pool.map(attempt, candidates))
-    best = max(range(len(tried)), key=lambda i: (tried[i][1], -i))
-    return SearchResult(tried[best][0], candidates[best], [(c, r) for c, (_, r) in zip(candidates, tried)])
+    trainer = Trainer(train, "features", [c.boosting(seed) for c in candidates])
+    recalls = [0.0] * len(candidates)
+    going = list(range(len(candidates)))
+    for rung in (*sorted(rungs), max((c.trees for c in candidates), default=0)):
+        trainer.grow(rung, going)
+        models = [TreeModel.of(trainer.fitted[k]) for k in going]
+        judged = staged_recalls(validation, branch, models, [[len(trainer.fitted[k].trees)] for k in going])
+        for k, (recall,) in zip(going, judged):
+            recalls[k] = recall
+        ranked = sorted(going, key=lambda k: (-recalls[k], k))[: max(1, math.ceil(keep * len(going)))]
+        going = sorted(k for k in ranked if len(trainer.fitted[k].trees) < candidates[k].trees)
+        if not going:
+            break
+    given = [len(m.trees) for m in trainer.fitted]
+    best = max(range(len(candidates)), key=lambda k: (recalls[k], given[k], -k))
+    return SearchResult(TreeModel.of(trainer.fitted[best]), candidates[best], list(zip(candidates, given, recalls)))
 
 
 def stack_vector(df: DataFrame) -> DataFrame:
@@ -219,7 +236,7 @@ class TrainingPlan:
     structured_candidates: tuple[TreeSettings, ...] = ()
     text_candidates: tuple[TreeSettings, ...] = ()
     seed: int = fv.SEED
-    parallelism: int = 4
+    rungs: tuple[int, ...] = fv.SEARCH_RUNGS
 
     def candidates(self, branch: str) -> list[TreeSettings]:
         given = self.structured_candidates if branch == "structured" else self.text_candidates
@@ -233,11 +250,12 @@ def train_stacked(features: DataFrame, plan: TrainingPlan | None = None) -> Stac
     work_root(features.sparkSession)
     train = written(training_rows(features, "train"), "train")
     validation = written(training_rows(features, "val"), "val")
-    oof = written(out_of_fold(train, plan.folds, plan.oof, plan.seed, plan.parallelism), "oof")
-    models = {
-        branch: search(
-            balanced(train, branch, plan.seed), validation, branch, plan.candidates(branch), plan.seed, plan.parallelism
-        ).model
-        for branch in BRANCHES
-    }
-    return StackedModel(models["structured"], models["text"], fit_meta(oof))
+    oof = written(out_of_fold(train, plan.folds, plan.oof, plan.seed), "oof")
+
+    def best(branch: str) -> TreeModel:
+        rows = balanced(train, branch, plan.seed)
+        return search(rows, validation, branch, plan.candidates(branch), plan.seed, plan.rungs).model
+
+    with ThreadPoolExecutor(len(BRANCHES)) as pool:
+        models = list(pool.map(best, BRANCHES))
+    return StackedModel(*models, fit_meta(oof))

@@ -68,8 +68,8 @@ def test_search_keeps_the_best_recall(build):
     train, val = training.training_rows(build.rows, "train"), training.training_rows(build.rows, "val")
     candidates = [training.TreeSettings(trees=1, depth=1), FAST]
     found = training.search(train.select("label", F.col("structured").alias("features")), val, "structured", candidates)
-    best = max(r for _, r in found.recalls)
-    assert dict((c, r) for c, r in found.recalls)[found.best] == best
+    best = max(r for _, _, r in found.recalls)
+    assert dict((c, r) for c, _, r in found.recalls)[found.best] == best
 
 
 def test_draws_stay_in_the_space():
@@ -77,6 +77,7 @@ def test_draws_stay_in_the_space():
     assert drawn == training.draw_settings(30, 42) and len(set(drawn)) == 30
     for s in drawn:
         assert 100 <= s.trees <= 600 and 3 <= s.depth <= 9 and 0.01 <= s.learning_rate <= 0.3
+        assert 1e-8 <= s.l1 <= 1 and 1e-8 <= s.l2 <= 1
         assert 0.6 <= s.row_share <= 1 and 0.6 <= s.column_share <= 1 and 1 <= s.min_child <= 10
     assert len(training.TrainingPlan().candidates("structured")) == 30 and len(training.TrainingPlan().candidates("text")) == 20
 
@@ -163,7 +164,7 @@ def exact_shapley(x, leaves, width):
 
 def test_contributions_are_shapley_values(build, model, spark):
     names = build.structured.names()
-    leaves = attribution.tree_leaves(model.structured)
+    leaves = model.structured.leaves()
     rows = build.rows.select(fv.ID, "structured").limit(8)
     explained = attribution.attribute(rows, model.structured, names, "structured", [fv.ID, "structured"]).collect()
     for r in explained:
@@ -177,7 +178,7 @@ def test_contributions_give_the_model_score(build, model):
     scored = training.score_branch(build.rows.select(fv.ID, "structured"), model.structured, "structured", "p")
     explained = attribution.attribute(scored, model.structured, build.structured.names(), "structured", [fv.ID, "p"])
     for r in explained.collect():
-        assert 1 / (1 + np.exp(-2 * r["margin"])) == pytest.approx(r["p"], abs=1e-9)
+        assert 1 / (1 + np.exp(-r["margin"])) == pytest.approx(r["p"], abs=1e-9)
 
 
 def test_strongest_features(spark, build, model):
