@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from staywise import fixed_values as fv
 from staywise.functions.numbers import to_number
 from staywise.operators.clean import default_note_column
+from staywise.sources.csv_records import read_records
 from staywise.sources.schema import struct_of
 
 
@@ -37,15 +38,16 @@ def read_csv(
 
     Only the header line is looked at before the scan; every field is read as text,
     missing tokens are normalised, then declared columns are cast. ``free_text``
-    accepts quotes and line breaks inside fields, which makes a file unsplittable:
-    convert such tables to Parquet once.
+    accepts quotes and line breaks inside fields; such files are split by byte ranges too
+    (``csv_records``), at the cost of a scan that counts quotes.
     """
     options = {"header": "true", "quote": '"', "escape": '"'}
-    if free_text:
-        options["multiLine"] = "true"
     names = spark.read.options(**options).csv(path).columns
     as_text = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    table = spark.read.options(**options).option("enforceSchema", "false").schema(as_text).csv(path)
+    if free_text:
+        table = read_records(spark, path, names, options)
+    else:
+        table = spark.read.options(**options).option("enforceSchema", "false").schema(as_text).csv(path)
     declared = struct_of(columns) if columns else as_text
     kinds = {field.name: field.dataType for field in declared}
     return table.select(

@@ -162,3 +162,39 @@ def test_late_rows_are_counted(spark):
     query.awaitTermination()
     days = monitors.latest_tallies(spark.read.parquet(out)).count()
     assert days + monitors.late_rows(query) == 3 and monitors.late_rows(query) == 1
+
+
+@pytest.mark.parametrize("size", ["64", "257", "100000"])
+def test_quoted_line_breaks_in_byte_ranges(spark, tmp_path, size):
+    """One file in many tasks, equal to the reader that takes a file whole."""
+    import random
+
+    rng = random.Random(5)
+    cell = lambda: "".join(rng.choice(['a', 'é', ' ', ',', '"', "\n", "\n\n", "x" * 30]) for _ in range(rng.randint(0, 9)))
+    rows = [(str(k), cell(), cell()) for k in range(200)] + [("200", "long\n" * 300, "end")]
+    whole = lambda v: '"' + v.replace('"', '""') + '"'
+    for name, end, own in (("a.csv", "\n", rows[:120]), ("b.csv", "\r\n", rows[120:])):
+        body = end.join(["id,note,other", *[",".join([i, whole(n), whole(o)]) for i, n, o in own]])
+        (tmp_path / name).write_bytes((body + end * 2).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = tables.read_csv(spark, str(tmp_path), free_text=True)
+        found = sorted(map(tuple, got.collect()))
+        if size == "64":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    options = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+    plain = spark.read.options(**options).csv(str(tmp_path))
+    expected = plain.select(*[tables.missing_to_null(F.col(c)).alias(c) for c in plain.columns])
+    assert found == sorted(map(tuple, expected.collect())) and len(found) == 201
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text("note,id\nz,2\n")
+    with pytest.raises(Exception, match="not that of the other files"):
+        tables.read_csv(spark, str(tmp_path), free_text=True).collect()
