@@ -149,10 +149,9 @@ def margins_by_boxes(rows: DataFrame, key: str, x: str, boxes: DataFrame) -> Dat
     nan = F.isnan("v")  # below every threshold, as in the trees
     inside = (nan & (F.col("low") == float("-inf"))) | (~nan & (F.col("v") > F.col("low")) & (F.col("v") <= F.col("high")))
     hits = values.join(boxes, "feature").filter(inside).groupBy(key, "tree", "leaf").agg(F.count(F.lit(1)).alias("n"), F.first("sides").alias("sides"), F.first("value").alias("value"))
-    bare = boxes.filter("sides = 0").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("bare"))
+    bare = boxes.filter("sides = 0").agg(F.sum("value")).first()[0] or 0.0  # trees that are a root alone
     sums = hits.filter("n = sides").groupBy(key).agg(F.sum("value").alias("margin"))
-    every = rows.select(key).join(sums, key, "left").crossJoin(F.broadcast(bare))  # one row
-    return every.select(key, (F.coalesce("margin", F.lit(0.0)) + F.col("bare")).alias("margin"))
+    return rows.select(key).join(sums, key, "left").select(key, (F.coalesce("margin", F.lit(0.0)) + F.lit(bare)).alias("margin"))
 
 
 def matrix(x: pd.Series, width: int) -> np.ndarray:
