@@ -425,3 +425,21 @@ def stream_monitors(spark, sf):
     events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     tallies_stream(stand_in.scored_from(events), path, checkpoint).awaitTermination()
     return _rounded_monitors(latest_tallies(spark.read.parquet(path)))
+
+
+@query(
+    "late_tallies",
+    """
+WITH x AS (SELECT CAST(ts AS DATE) AS day, coalesce(user_id % 10 = 0, false) AS held FROM events),
+mark AS (SELECT max(day) AS mark FROM x WHERE NOT held)
+SELECT day, count(*) AS scored, count(*) FILTER (held AND day < mark - INTERVAL 1 DAY) AS late FROM x, mark GROUP BY day""",
+)
+def late_tallies(spark, sf):
+    """A tenth of the users' events arrives after all others: their days are corrected, and late rows counted."""
+    source, path, progress = (new_folder(spark, n) for n in ("events", "daily", "progress"))
+    events = stand_in.table(spark, sf, "events")
+    for held in (False, True):
+        events.where(F.coalesce(F.col("user_id") % 10 == 0, F.lit(False)) == F.lit(held)).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(events.schema).parquet(source)
+        tallies_stream(stand_in.scored_from(arriving), path, progress).awaitTermination()
+    return latest_tallies(spark.read.parquet(path)).select("day", "scored", "late")

@@ -2,56 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from staywise import fixed_values as fv
 from staywise.functions.numbers import ratio
+from staywise.sources.landing import path_exists
 
 
-def daily_tallies(scores: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Per day: scores, mean score parts, fallbacks and outcome counts.
+_SUMS = ("scored", "score_sum", "fallbacks", "positives", "hits")
+
+
+def daily_tallies(scores: DataFrame, time: str = "ts") -> DataFrame:
+    """Per day: scores, sum of scores, fallbacks and outcome counts.
 
-    Works on a stream (late rows up to ``delay`` are counted) and on a table alike.
     Expects ``label``, ``prediction``, ``probability`` and ``nlp_branch_available``.
     """
-    rows = scores.withColumn("_day", F.date_trunc("day", F.col(time)).cast("timestamp"))
-    if rows.isStreaming:
-        rows = rows.withWatermark("_day", delay)
     hit = (F.col("label") == 1) & (F.col("prediction") == 1)
-    return (
-        rows.groupBy("_day")
-        .agg(
-            F.count(F.lit(1)).alias("scored"),
-            F.sum("probability").alias("score_sum"),
-            F.count_if(~F.col("nlp_branch_available")).alias("fallbacks"),
-            F.count_if(F.col("label") == 1).alias("positives"),
-            F.count_if(hit).alias("hits"),
-        )
-        .select(F.to_date("_day").alias("day"), "scored", "score_sum", "fallbacks", "positives", "hits")
+    return scores.groupBy(F.to_date(time).alias("day")).agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.sum("probability").alias("score_sum"),
+        F.count_if(~F.col("nlp_branch_available")).alias("fallbacks"),
+        F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_if(hit).alias("hits"),
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came later than the watermark allowed and were left out, as far as the query remembers."""
-    states = [s for p in query.recentProgress for s in p["stateOperators"]]
-    return sum(s["numRowsDroppedByWatermark"] for s in states)
+def _mark(spark: SparkSession, path: str, batch_id: int):
+    """The latest day of the batches before this one, from what the last of them left."""
+    before = f"{path}/batch={batch_id - 1}"
+    row = spark.read.parquet(before).agg(F.max("mark").alias("mark")).first() if batch_id > 0 and path_exists(spark, before) else None
+    return None if row is None else row["mark"]
 
 
-def tallies_stream(scores: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Keep the daily tallies of a stream of scores; a day is written again whenever it changes.
+def tallies_stream(scores: DataFrame, path: str, checkpoint: str, delay_days: int = 1) -> StreamingQuery:
+    """Add every micro-batch's part of the daily tallies; rows count however late they come.
 
-    The watermark lets finished days leave the state; ``late_rows`` tells what came after that.
+    Tallies are sums, so a batch writes its own share of each day and nothing is kept in state: a
+    late row corrects its day, and with it the rolling windows, as soon as it arrives. ``late``
+    counts the rows of a batch that came more than ``delay_days`` after the latest day of the
+    batches before, ``mark`` is the latest day so far. A batch reads the folder of the batch before
+    it only, and overwrites its own on a replay.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        mark = F.lit(_mark(spark, path, batch_id)).cast("date")
+        own = daily_tallies(batch)
+        late = F.when(F.col("day") < F.date_sub(mark, delay_days), F.col("scored")).otherwise(F.lit(0)).cast("long")
+        # One row a day, also in a batch without rows, so that the mark goes on.
+        latest = own.agg(F.greatest(mark, F.max("day")).alias("mark"))
+        rows = own.select("day", *_SUMS, late.alias("late"), F.lit(None).cast("date").alias("mark"))
+        rows = rows.unionByName(latest.select("mark"), allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        daily_tallies(scores, delay=delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(keep)
+        scores.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -59,9 +66,9 @@ def tallies_stream(scores: DataFrame, path: str, checkpoint: str, delay: str = "
 
 
 def latest_tallies(written: DataFrame) -> DataFrame:
-    """The last written row of every day."""
-    row = F.struct(*[c for c in written.columns if c not in ("day", "batch")])
-    return written.groupBy("day").agg(F.max_by(row, "batch").alias("last")).select("day", "last.*")
+    """The days of all batches so far: the sums, and how many of the scores came late."""
+    days = written.filter(F.col("scored").isNotNull())
+    return days.groupBy("day").agg(*[F.sum(c).alias(c) for c in (*_SUMS, "late")])
 
 
 def rolling_monitors(daily: DataFrame, days: int = fv.ROLLING_DAYS) -> DataFrame:

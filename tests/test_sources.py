@@ -158,10 +158,14 @@ def test_late_rows_are_counted(spark):
         row = spark.sql(f"select timestamp'2024-01-{day:02d} 12:00:00' ts, 1L label, 1L prediction, 0.5D probability, true nlp_branch_available")
         row.coalesce(1).write.mode("append").parquet(source)
     scores = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
-    query = monitors.tallies_stream(scores, out, progress)
-    query.awaitTermination()
-    days = monitors.latest_tallies(spark.read.parquet(out)).count()
-    assert days + monitors.late_rows(query) == 3 and monitors.late_rows(query) == 1
+    monitors.tallies_stream(scores, out, progress).awaitTermination()
+    days = {r.day.day: (r.scored, r.late, r.hits) for r in monitors.latest_tallies(spark.read.parquet(out)).collect()}
+    assert days == {10: (1, 0, 1), 20: (1, 0, 1), 1: (1, 1, 1)}
+    # A second run goes on from the mark of the first, and a late row corrects its day.
+    spark.sql("select timestamp'2024-01-10 13:00:00' ts, 0L label, 1L prediction, 0.5D probability, true nlp_branch_available").write.mode("append").parquet(source)
+    monitors.tallies_stream(scores, out, progress).awaitTermination()
+    days = {r.day.day: (r.scored, r.late) for r in monitors.latest_tallies(spark.read.parquet(out)).collect()}
+    assert days == {10: (2, 1), 20: (1, 0), 1: (1, 1)}
 
 
 @pytest.mark.parametrize("size", ["64", "257", "100000"])
