@@ -138,6 +138,23 @@ def one_hot_unseen(spark, sf):
     return fitted.apply(orders, ["o_orderkey"])
 
 
+@query(
+    "one_hot_missing",
+    "SELECT o_orderkey, "
+    + ", ".join(
+        f"CASE WHEN o_orderkey % 3 <> 0 AND o_orderpriority = '{v}' THEN 1.0::DOUBLE ELSE 0 END AS \"cat__o_orderpriority_{v}\""
+        for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    )
+    + ", CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS \"cat__o_orderpriority_Unknown\" FROM orders",
+)
+def one_hot_missing(spark, sf):
+    """A missing category is filled with a constant, which has an indicator of its own."""
+    orders = stand_in.table(spark, sf, "orders")
+    holed = orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))
+    fitted = preprocess.fit_structured(holed, numbers=[], categories=["o_orderpriority"])
+    return fitted.apply(holed, ["o_orderkey"])
+
+
 @query(
     "category_vocabulary",
     CUSTOMERS
@@ -242,6 +259,30 @@ def vector_means(spark, sf):
     return spark.createDataFrame([(i, m) for i, m in enumerate(mean)], "position bigint, mean double").withColumn("mean", F.round("mean", 8))
 
 
+@query(
+    "component_spectrum",
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM x GROUP BY i), z AS (SELECT vec_id, i, x - m AS z FROM x JOIN m USING (i)),
+c AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS v FROM z AS a JOIN z AS b USING (vec_id) GROUP BY a.i, b.i),
+t AS (SELECT sum(v) AS t FROM c WHERE i = j),
+c2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c AS a JOIN c AS b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT 1 AS power, round(sum(v) / any_value(t), 9) AS moment FROM c, t WHERE i = j
+UNION ALL SELECT 2, round(sum(v) / any_value(t * t), 9) FROM c2, t WHERE i = j
+UNION ALL SELECT 3, round(sum(a.v * b.v) / any_value(t * t * t), 9) FROM c2 AS a JOIN c AS b ON a.i = b.j AND a.j = b.i, t
+UNION ALL SELECT 4, round(sum(a.v * b.v) / any_value(t * t * t * t), 9) FROM c2 AS a JOIN c2 AS b ON a.i = b.j AND a.j = b.i, t""",
+)
+def component_spectrum(spark, sf):
+    """Power sums of the shares of variance that all projected components have: the traces of the covariance's powers."""
+    vectors = stand_in.table(spark, sf, "embeddings").select(as_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    width = len(vectors.first()["x"])
+    pca, mean = notes.fit_pca(vectors, "x", width)
+    projected = notes.TextTransform(pca, mean, width=width).reduce(vectors, "x", "z")
+    found = projected.agg(*[F.var_samp(F.col("z")[i]).alias(f"v{i}") for i in range(width)]).first()
+    total = sum(found)
+    rows = [(p, sum((v / total) ** p for v in found)) for p in range(1, 5)]
+    return spark.createDataFrame(rows, "power int, moment double").withColumn("moment", F.round("moment", 9))
+
+
 # --- oversampling ------------------------------------------------------------------------------
 
 
