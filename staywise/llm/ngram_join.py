@@ -5,7 +5,9 @@ linked sets lie in one band or two neighbouring ones; an instance covers two nei
 and linked sets of an instance differ in at most ``k`` features. The feature domain is cut by
 hash into ``(k + 2) // 2`` parts, so linked sets differ by at most one feature in some part, and
 each part into three pieces, so they agree on two of its pieces. A signature is the projection
-of a set on two pieces of a part: three per part, and linked sets share at least one.
+of a set on two pieces of a part: three per part, and linked sets share at least one. At low
+thresholds pieces are small; there are then a fifth more parts, so linked sets agree in many, and
+projections without features, which unrelated sets share, are left out (see ``signatures``).
 
 1. Fingerprints: equal sets (128-bit) become one node, the least of their documents.
 2. Signatures are combined in each task: sets with the same one hang on the first, and only the
@@ -37,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staywise.llm.common import slices, utf8
+from staywise.llm.common import slices, small_batches, utf8
 from staywise.llm.components import components
 from staywise.session import ship_code, written
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
-_KEPT_WORDS = 500_000
-_FLUSH = 1 << 20
+_KEPT_WORDS = 150_000
+_FLUSH = 1 << 19
 #: Longs in a parity sketch.
 _PARITY = 32
 
@@ -99,39 +101,61 @@ def bands(percent: int) -> Iterator[tuple[int, int]]:
 
 
 class _Plan:
-    """Bands and difference bounds, extended as larger sets come."""
+    """Bands, and for each instance its parts and how many of them any linked sets agree in; extended as larger sets come.
 
-    def __init__(self, percent: int):
-        self.percent, self.source, self.low, self.most = percent, bands(percent), [], []
+    Instance j joins bands j - 1 and j, and the sets of band j - 1 with each other. With ``spare``
+    parts beyond what is needed, linked sets differ by at most one feature in ``spare + 1`` parts.
+    """
 
-    def of(self, size: int) -> tuple[int, int, int]:
+    def __init__(self, percent: int):
+        self.percent, self.source, self.low, self.high = percent, bands(percent), [], []
+        self.parts: list[tuple[int, int]] = []
+
+    def _extend(self) -> None:
+        low, high = next(self.source)
+        before = self.high[-1] if self.high else 0
+        k = (before + high) * (100 - self.percent) // (100 + self.percent)
+        need = (k + 2) // 2 if k else 0
+        # Where two pieces of a part would hold few features, some of them are empty.
+        spare = need // 5 if need and 2 * (self.low[-1] if self.low else low) < 24 * need else 0
+        self.low.append(low)
+        self.high.append(high)
+        self.parts.append((need + spare, spare))
+
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(instance, parts, spare) of the two instances of a set."""
         import bisect
 
         while len(self.low) < 2 or self.low[-2] <= size:
-            low, high = next(self.source)
-            self.low.append(low)
-            self.most.append(2 * high * (100 - self.percent) // (100 + self.percent))
+            self._extend()
         band = bisect.bisect_right(self.low, size) - 1
-        return band, self.most[band], self.most[band + 1]
+        return [(j, *self.parts[j]) for j in (band, band + 1)]
 
 
 def signatures(grams, plan: _Plan):
-    """All PartEnum signatures of one set, for its own band's instance and the next."""
+    """All PartEnum signatures of one set, for its own band's instance and the next.
+
+    Two pieces without features are shared by many sets that have nothing else in common. Linked
+    sets agree in more than ``spare`` parts, so a set with such pieces in no more than ``spare``
+    parts does without them: in some other part the two agree on features.
+    """
     import numpy as np
 
-    band, own, following = plan.of(len(grams))
     out = []
-    for instance, k in ((band, own), (band + 1, following)):
-        if not k:  # only equal sets link there, and they are one node
+    for instance, parts, spare in plan.of(len(grams)):
+        if not parts:  # only equal sets link there, and they are one node
             continue
-        parts = (k + 2) // 2
         piece = (grams >> np.uint64(32)) % np.uint64(parts) * np.uint64(3) + (grams & np.uint64(0xFFFFFFFF)) % np.uint64(3)
+        piece = piece.astype(np.int64)
         sums = np.zeros(parts * 3, np.uint64)
-        np.add.at(sums, piece.astype(np.int64), mix(grams + np.uint64(_MIX[2])))
+        np.add.at(sums, piece, mix(grams + np.uint64(_MIX[2])))
         sums = sums.reshape(parts, 3)
         kept = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
         place = np.arange(parts * 3, dtype=np.uint64).reshape(parts, 3) + np.uint64(instance << 40)
-        out.append(mix(kept ^ mix(place)).reshape(-1))
+        signed = mix(kept ^ mix(place))
+        held = np.bincount(piece, minlength=parts * 3).reshape(parts, 3)
+        bare = held.sum(axis=1)[:, None] == held
+        out.append(signed[~bare] if bare.any(axis=1).sum() <= spare else signed.reshape(-1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -256,7 +280,7 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
 
     def grams(node: int, text: str) -> set:
         if node not in sets:
-            if len(sets) >= 64:
+            if len(sets) >= 64 or sum(map(len, sets.values())) > 100_000:
                 sets.clear()
             words = words_of((text or "").encode())
             sets[node] = set(zip(*(words[k:] for k in range(width)))) if len(words) >= width else {tuple(words)}
@@ -343,7 +367,8 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         wide = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}"))
         sketched = candidates.select("a", "b").join(wide("a"), "a").join(wide("b"), "b")
         candidates = sketched.mapInArrow(partial(_possible, percent=percent), "a long, b long").distinct()
-        candidates = written(candidates, "gram-possible")
+        with small_batches(spark):
+            candidates = written(candidates, "gram-possible")
         need = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
         # Written, so that Spark knows its size before it deals out the texts.
         wanted = written(nodes.join(need, "node").select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print")), "gram-wanted")
@@ -352,7 +377,8 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         held = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
         )
-        return written(held.mapInArrow(partial(_linked, width=width, percent=percent), "u long, v long"), "gram-links")
+        with small_batches(spark, 128):
+            return written(held.mapInArrow(partial(_linked, width=width, percent=percent), "u long, v long"), "gram-links")
 
     edges = trees.groupBy(F.col("parent").alias("ha"), F.col("child").alias("hb")).agg(F.count(F.lit(1)).alias("c"))
     both = edges.join(side("a"), "ha").join(side("b"), "hb").filter((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))

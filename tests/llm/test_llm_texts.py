@@ -90,17 +90,35 @@ def test_ngram_join_equals_all_pairs(spark, width, percent):
     assert ngram_join.join_components(empty(spark)).count() == 0
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(3)
-    plan = ngram_join._Plan(90)
-    for size in (9, 10, 11, 30, 200, 1000):
-        for _ in range(20):
+    plan = ngram_join._Plan(percent)
+    most = 2 if percent == 80 else 1
+    tried = 0
+    for size in (4, 5, 6, 9, 10, 11, 12, 30, 75, 200, 1000):
+        for _ in range(60):
             one = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-            gone = rng.integers(0, max(1, size // 20) + 1)
-            two = np.unique(np.concatenate([one[gone:], rng.integers(0, 2**63, rng.integers(0, max(1, size // 20) + 1), dtype=np.uint64)]))
+            gone = rng.integers(0, max(1, most * size // 18) + 1)
+            two = np.unique(np.concatenate([one[gone:], rng.integers(0, 2**63, rng.integers(0, max(1, most * size // 18) + 1), dtype=np.uint64)]))
             both = len(np.intersect1d(one, two))
-            if both < len(one) and 100 * both >= 90 * (len(one) + len(two) - both):
+            if both < max(len(one), len(two)) and 100 * both >= percent * (len(one) + len(two) - both):
+                tried += 1
                 assert set(ngram_join.signatures(one, plan).tolist()) & set(ngram_join.signatures(two, plan).tolist())
+    assert tried > 200
+
+
+def test_unrelated_sets_share_next_to_no_signature():
+    rng = np.random.default_rng(4)
+    plan = ngram_join._Plan(80)
+    for size in (1000, 4000):
+        owners: dict[int, int] = {}
+        shared = 0
+        for _ in range(300):
+            for sig in set(ngram_join.signatures(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)), plan).tolist()):
+                shared += sig in owners
+                owners[sig] = 1
+        assert shared <= 3
 
 
 def test_link_that_no_tree_edge_shows_is_found(spark):
