@@ -183,3 +183,30 @@ def test_too_many_categories_are_refused(spark):
     df = spark.range(20).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
         explore.category_values(df, ["c"], limit=10)
+
+
+def test_wide_moments_in_tiles(spark, monkeypatch):
+    """Tiles of several scans give the sums of one matrix product; rounding is carried along."""
+    import numpy as np
+
+    monkeypatch.setattr(explore, "BLOCK", 4)
+    monkeypatch.setattr(explore, "TILE_CELLS", 32)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 11)) + 1e6
+    x[:, 3] = 7.0
+    x[::5, 2] = np.nan
+    names = [f"c {k}" for k in range(11)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    got = {(r.feature_a, r.feature_b): r.corr for r in explore.correlation_matrix(df, names).collect()}
+    assert len(got) == 121
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if 3 in (i, j):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    total, rest = np.array([1e16]), np.zeros(1)
+    for _ in range(1000):
+        total = explore._added(total, rest, np.array([1.0]))
+    assert (total + rest)[0] == 1e16 + 1000
