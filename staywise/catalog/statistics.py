@@ -173,14 +173,33 @@ def correlation_matrix(spark, sf):
     return explore.correlation_matrix(encoded, encoded.columns).withColumn("corr", F.round("corr", 6))
 
 
-@query("vif")
+def _vif_sql() -> str:
+    """The inverse of the scaled Gram matrix by Gauss and Jordan, a pivot at a time; its diagonal is the VIF."""
+    features = {c: value for c, value in _ENCODED_SQL.items() if c != fv.TARGET}
+    p = len(features)
+    cells = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, sum(k{i} * k{j}) AS v FROM c" for i in range(p) for j in range(p))
+    steps = [
+        "c AS MATERIALIZED (SELECT " + ", ".join(f"CAST({value} AS DOUBLE) AS k{i}" for i, value in enumerate(features.values())) + " FROM v WHERE TRY_CAST(TotalCharges AS DOUBLE) IS NOT NULL)",
+        f"g AS MATERIALIZED ({cells})",
+        "a0 AS MATERIALIZED (SELECT g.i, g.j, g.v / sqrt(x.v * y.v) AS v FROM g JOIN g AS x ON x.i = g.i AND x.j = g.i JOIN g AS y ON y.i = g.j AND y.j = g.j)",
+    ]
+    for k in range(p):
+        steps.append(
+            f"""a{k + 1} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN m.i = {k} AND m.j = {k} THEN 1 / o.v WHEN m.i = {k} THEN m.v / o.v WHEN m.j = {k} THEN -m.v / o.v
+                ELSE m.v - c.v * r.v / o.v END AS v FROM a{k} AS m JOIN a{k} AS r ON r.i = {k} AND r.j = m.j JOIN a{k} AS c ON c.j = {k} AND c.i = m.i JOIN a{k} AS o ON o.i = {k} AND o.j = {k})"""
+        )
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(features))
+    return CUSTOMERS + ", " + ",\n".join(steps) + f" SELECT name AS Feature, round(v, 4) AS VIF FROM a{p} JOIN (VALUES {names}) AS f(pos, name) ON i = pos AND j = pos"
+
+
+@query("vif", _vif_sql())
 def vif(spark, sf):
     cleaned = explore.cleaned_for_exploration(stand_in.customers(spark, sf))
     encoded = explore.drop_first_dummies(cleaned, [fv.ID, fv.TARGET])
     result = written(explore.variance_inflation(encoded, encoded.columns), "vif")
     path = new_folder(spark, "vif")
     reports.write_vif(result, path)
-    return spark.read.schema("Feature string, VIF double").option("header", "true").csv(path)
+    return spark.read.schema("Feature string, VIF double").option("header", "true").csv(path).withColumn("VIF", F.round("VIF", 4))
 
 
 @query(
