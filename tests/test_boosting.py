@@ -183,3 +183,28 @@ def test_staged_search_equals_separate_fits(spark, rows):
     halved = training.search(train, validation, "x", some, rungs=(1, 2), keep=0.5)
     assert sorted(g for _, g, _ in halved.recalls) == [1, 1, 2, 2] or max(g for _, g, _ in halved.recalls) == 4
     assert halved.recalls[some.index(halved.best)][2] == max(r for _, _, r in halved.recalls)
+
+
+def test_sums_of_columns_equal_plain_ones():
+    """Features of one, two and more bins; nodes without rows; more rows than one product takes."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([2, 1, 5, 2, 64])
+    bins = np.stack([rng.integers(0, k, 40_000) for k in sizes], axis=1).astype(np.uint8)
+    g, h = rng.integers(-(1 << 24), 1 << 24, 40_000).astype(float), rng.integers(0, 1 << 22, 40_000).astype(float)
+    features = np.array([0, 1, 2, 4])  # a tree need not see all of them
+    own = sizes[features]
+    offset, cells = np.cumsum(own) - own, int(own.sum())
+    held = [np.arange(0, 30_000), np.zeros(0, np.int64), np.arange(30_000, 40_000, 2)]
+    got = boosting._Columns(bins, sizes).sums(held, g, h, features, offset, own, cells)
+    for k, rows in enumerate(held):
+        for f, at, size in zip(features, offset, own):
+            for w, v in enumerate((g, h)):
+                assert (got[w, k, at : at + size] == [v[rows][bins[rows, f] == b].sum() for b in range(size)]).all()
+
+
+def test_many_rows_share_a_record(rows):
+    """Rows travel in blocks, so a scan takes its time for cells and not for records."""
+    trainer = boosting.Trainer(rows, "x", MODELS, bins=16)
+    held = trainer.table.collect()
+    assert sum(r.n for r in held) == 2000 and len(held) < 100
+    assert max(len(r.bins) + len(r.margins) + len(r.label) + len(r.fold) + len(r.key) for r in held) <= boosting.BLOCK_BYTES
