@@ -208,3 +208,11 @@ def test_many_rows_share_a_record(rows):
     held = trainer.table.collect()
     assert sum(r.n for r in held) == 2000 and len(held) < 100
     assert max(len(r.bins) + len(r.margins) + len(r.label) + len(r.fold) + len(r.key) for r in held) <= boosting.BLOCK_BYTES
+
+
+def test_a_row_without_label_spoils_its_own_bins():
+    """Sums of gradients that are no numbers stay where the row is, also for features of two bins."""
+    bins = np.array([[0, 0], [1, 2], [1, 1]], np.uint8)
+    g, h, own = np.array([1.0, np.nan, 4.0]), np.array([1.0, np.nan, 2.0]), np.array([2, 3])
+    got = boosting._Columns(bins, own).sums([np.arange(3)], g, h, np.arange(2), np.array([0, 2]), own, 5)[0, 0]
+    assert got[[0, 2, 3]].tolist() == [1.0, 1.0, 4.0] and np.isnan(got[[1, 4]]).all()
