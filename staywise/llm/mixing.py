@@ -143,7 +143,9 @@ def copies(
     rows = sized.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), "print", "size")
     # Pre-aggregated in each task, so equal rows meet as a few partial counts.
     items = rows.groupBy("doc_id", "source", "print").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    items = written(items, "mix-items")
+    # A file starts processes while it is written: items are small, so two files a core are enough.
+    tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
+    items = written(items.coalesce(tasks), "mix-items")
     sums = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("n")).collect()
     sums.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [int(r.n) for r in sums]
@@ -160,11 +162,11 @@ def copies(
     level = dealt.select(node.alias("node"), "i.source", "i.doc_id", "i.print", "i.size", "i.rows", "s.base", "s.open")
     settled, nodes = None, buckets
     while True:
-        parts = max(1, min(nodes, 2 * spark.sparkContext.defaultParallelism))
         # Large documents meet first, so that what stays open to the end is small.
         mass = (F.col("size") * F.col("rows")).desc()
-        ordered = level.repartition(parts, "node").sortWithinPartitions("node", "source", mass, "doc_id", "print")
-        done = written(ordered.mapInArrow(partial(_settle, seed=seed, last=nodes == 1), ITEM), "mix-level")
+        # Nodes of few rows share a task, and a level is written as few files, into however many parts it is dealt.
+        ordered = level.repartition("node").sortWithinPartitions("node", "source", mass, "doc_id", "print")
+        done = written(ordered.mapInArrow(partial(_settle, seed=seed, last=nodes == 1), ITEM).coalesce(tasks), "mix-level")
         whole = done.filter(~((F.col("open") > 0) & (F.col("open") < 1)))
         settled = whole if settled is None else settled.unionByName(whole)
         if nodes == 1:

@@ -15,7 +15,7 @@ from corpus_rows import awkward, empty, prose
 from staywise.llm import block_labeller, chat_log, license_scan, mixing, ring_shards, token_files
 from staywise.llm.html_blocks import blocks
 from staywise.llm.queries import vocabulary
-from staywise.session import new_folder
+from staywise.session import new_folder, written
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -150,6 +150,21 @@ def test_mix_meets_its_targets(spark):
     assert mixing.copies(mixing.with_size(empty(spark))).count() == 0
 
 
+def test_levels_of_few_rows_are_few_files(spark, monkeypatch):
+    """Every file that is written starts processes, so a level is not dealt into a file per part."""
+    tables = {}
+
+    def kept(df, label):
+        held = tables.setdefault(label, [])
+        held.append(written(df, label))
+        return held[-1]
+
+    monkeypatch.setattr(mixing, "written", kept)
+    docs = awkward(spark, *[(100 + k, prose(k, 5 + k % 70), "en", "abc"[k % 3], 1) for k in range(300)])
+    assert mixing.copies(mixing.with_size(docs)).count() > 300
+    assert [len(t.inputFiles()) for t in tables["mix-level"]] == [1, 1, 1]
+
+
 def test_packing_round_trips():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 1023, 1024, 1025, 4000):
