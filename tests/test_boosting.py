@@ -202,6 +202,26 @@ def test_sums_of_columns_equal_plain_ones():
                 assert (got[w, k, at : at + size] == [v[rows][bins[rows, f] == b].sum() for b in range(size)]).all()
 
 
+def test_features_of_many_rows_are_summed_in_groups(monkeypatch):
+    """One pass over the rows serves all features of a group, with the sums of the plain way."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([64] * 4 + [2] * 24 + [1, 255, 9])
+    assert sorted(f for group in boosting.feature_groups(sizes) for f in group) == [k for k in range(31) if k != 28]
+    assert all(len(group) == 1 or np.prod(sizes[group]) <= boosting.JOINT for group in boosting.feature_groups(sizes))
+    bins = np.stack([rng.integers(0, k, 30_000) for k in sizes], axis=1).astype(np.uint8)
+    g, h = rng.integers(-(1 << 24), 1 << 24, 30_000).astype(float), rng.integers(0, 1 << 22, 30_000).astype(float)
+    features = np.flatnonzero(rng.random(31) < 0.7)
+    own = sizes[features]
+    offset, cells = np.cumsum(own) - own, int(own.sum())
+    held = [np.arange(0, 30_000, 2), np.zeros(0, np.int64), np.arange(1, 30_000, 4)]
+    passes, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: passes.append(1) or plain(*a))
+    got = boosting._Columns(bins, sizes).sums(held, g, h, features, offset, own, cells)
+    assert len(passes) <= 2 * len(held) * 6
+    monkeypatch.setattr(boosting, "JOINT", 1 << 40)
+    assert (boosting._Columns(bins, sizes).sums(held, g, h, features, offset, own, cells) == got).all()
+
+
 def test_many_rows_share_a_record(rows):
     """Rows travel in blocks, so a scan takes its time for cells and not for records."""
     trainer = boosting.Trainer(rows, "x", MODELS, bins=16)
