@@ -17,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 
 QUERIES: dict[str, Query] = {}
 
+#: What operators keep in a worker between tasks; all of it can be made again.
+KEPT: list[dict] = []
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register ``(spark, sf_dir) -> DataFrame`` under a name, with its DuckDB twin where SQL can say it."""
@@ -66,6 +69,30 @@ def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def light_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about ``max_bytes`` for the jobs that run inside: 10,000 whole texts would make one of tens of MB, narrow rows stay together."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def let_go() -> None:
+    """At a task's end: the next step reuses the worker, where what steps keep and Arrow's free memory would add up."""
+    for cache in KEPT:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row in two tasks a core at most: every file that is written starts processes on its executor."""
+    return df.coalesce(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

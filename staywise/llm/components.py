@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staywise.llm.common import few
 from staywise.session import written
 
 
@@ -18,19 +19,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs neighbours on the least node that is known to reach them, until the table
     is a set of stars. A round is two aggregations with partial minima and joins on the node;
-    its table is written to the shared folder, which cuts the lineage.
+    its table is written to the shared folder in a few files, which cuts the lineage.
     """
     hung = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    now = written(edges.filter(F.col("u") != F.col("v")).select(*hung).distinct(), "stars")
+    now = written(few(edges.filter(F.col("u") != F.col("v")).select(*hung).distinct()), "stars")
     state = _state(now)
     while state[0]:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u != v").distinct(), "stars")
+        large = written(few(large.filter("u != v").distinct()), "stars")
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = written(small.select("e.u", "e.v").filter("u != v").distinct(), "stars")
+        small = written(few(small.select("e.u", "e.v").filter("u != v").distinct()), "stars")
         after = _state(small)
         now, done = small, after == state
         state = after

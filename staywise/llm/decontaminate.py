@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from staywise.llm.common import utf8
+from staywise.llm.common import KEPT, utf8
 from staywise.session import ship_code, written
 
 WIDTH = 13
@@ -36,6 +36,7 @@ TABLE = bytes(
 )
 
 _BUILT: dict[int, tuple] = {}
+KEPT.append(_BUILT)
 
 
 def words_of(data: bytes) -> list[bytes]:

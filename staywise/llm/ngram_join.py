@@ -39,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staywise.llm.common import slices, small_batches, utf8
+from staywise.llm.common import KEPT, few, let_go, light_batches, slices, small_batches, utf8
 from staywise.llm.components import components
 from staywise.session import ship_code, written
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 _KEPT_WORDS = 150_000
 _FLUSH = 1 << 19
+#: Rows of a batch that a task sends.
+_SENT = 1 << 16
 #: Longs in a parity sketch.
 _PARITY = 32
 
@@ -59,6 +61,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+KEPT.append(_HASHES)
 
 
 def mix(x):
@@ -208,6 +211,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         columns = [batch.column("doc_id"), batch.column("doc"), batch.column("print"), pa.array(sizes, pa.int64()), as_long(one), as_long(two)]
         columns += [pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "print", "n", "h1", "h2", "parity", "wide"])
+    let_go()
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
     plan, sigs, owners, held = _Plan(percent), [], [], 0
     seen: set[int] = set()
 
-    def flushed() -> pa.RecordBatch:
+    def flushed() -> Iterator[pa.RecordBatch]:
         sig, own = np.concatenate(sigs), np.concatenate(owners)
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
@@ -227,7 +231,8 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         keep = np.flatnonzero(fresh)
         keep = keep[np.argsort(own[keep], kind="stable")]  # rows of one set side by side compress well
         parent = pa.array(first[keep], mask=opens[keep])
-        return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep]), parent], ["sig", "set", "parent"])
+        rows = pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep]), parent], ["sig", "set", "parent"])
+        return (rows.slice(at, _SENT) for at in range(0, rows.num_rows, _SENT))
 
     for batch in slices(batches, "text"):
         for text in utf8(batch.column("text")):
@@ -244,11 +249,13 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
                 owners.append(np.full(len(sig), name, np.int64))
                 held += len(sig)
         if held >= _FLUSH:
-            yield flushed()
+            yield from flushed()
             sigs, owners, held = [], [], 0
             seen.clear()
     if held:
-        yield flushed()
+        yield from flushed()
+        sigs, owners = [], []
+    let_go()
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +302,7 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
                 links.append((a, b))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["u", "v"])
+    let_go()
 
 
 def _document(key: str, text: str) -> Column:
@@ -318,13 +326,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     A document is an id and a text: rows of one id with different texts are judged apart.
     """
-    known = written(_settled(docs, key, text, width, percent).select("doc", "print", "root"), "gram-known")
+    known = written(few(_settled(docs, key, text, width, percent).select("doc", "print", "root")), "gram-known")
     linked = known.filter(F.col("root").isNotNull())
     first = linked.groupBy("root").agg(F.min(F.struct("doc", "print")).alias("first")).select("first.doc", "first.print")
     names = ["__doc", "__print"]
     gone = linked.select("doc", "print").distinct().join(first, ["doc", "print"], "left_anti")
-    gone = written(gone.toDF(*names), "gram-gone")
-    twice = written(known.groupBy("doc", "print").count().filter("count > 1").select("doc", "print").toDF(*names), "gram-twice")
+    gone = written(few(gone.toDF(*names)), "gram-gone")
+    twice = written(few(known.groupBy("doc", "print").count().filter("count > 1").select("doc", "print").toDF(*names)), "gram-twice")
     own = docs.withColumns({"__doc": _document(key, text), "__print": F.xxhash64(F.col(text).cast("string"))}).join(gone, names, "left_anti")
     once = own.join(twice, names, "left_anti").unionByName(own.join(twice, names, "left_semi").dropDuplicates(names))
     return once.select(*docs.columns)
@@ -337,7 +345,8 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _document(key, text).alias("doc"), F.xxhash64(body).alias("print"), body.alias("text"))
     named = "doc_id long, doc long, print long, n long, h1 long, h2 long, parity array<bigint>, wide binary"
-    sets = written(rows.mapInArrow(partial(_fingerprints, width=width), named), "gram-sets")
+    with light_batches(spark):
+        sets = written(rows.mapInArrow(partial(_fingerprints, width=width), named), "gram-sets")
     nodes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min(F.struct("doc", "print")).alias("from"), F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
     # A node is called after its least document; where an id has several texts, one node has its name.
     first = nodes.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("first"))
@@ -346,7 +355,8 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
 
     signed = rows.select("text").mapInArrow(partial(_signed, width=width, percent=percent), "sig long, set long, parent long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", F.col("parent").asc_nulls_first(), "set")
-    trees = written(ordered.mapInArrow(_trees, "sig long, parent long, child long"), "gram-trees")
+    with light_batches(spark):
+        trees = written(ordered.mapInArrow(_trees, "sig long, parent long, child long"), "gram-trees")
 
     side = lambda s: nodes.select(F.col("h1").alias(f"h{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"))
 
@@ -368,10 +378,10 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         sketched = candidates.select("a", "b").join(wide("a"), "a").join(wide("b"), "b")
         candidates = sketched.mapInArrow(partial(_possible, percent=percent), "a long, b long").distinct()
         with small_batches(spark):
-            candidates = written(candidates, "gram-possible")
+            candidates = written(few(candidates), "gram-possible")
         need = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
         # Written, so that Spark knows its size before it deals out the texts.
-        wanted = written(nodes.join(need, "node").select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print")), "gram-wanted")
+        wanted = written(few(nodes.join(need, "node").select("node", F.col("from.doc").alias("doc"), F.col("from.print").alias("print"))), "gram-wanted")
         found = rows.select("doc", "print", "text").join(wanted, ["doc", "print"]).dropDuplicates(["doc", "print"])
         texts = written(found.select("node", "text"), "gram-texts")
         held = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -390,12 +400,12 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     # First each node with the one it shares most signatures with, then what is still apart.
     closest = tried.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
     links = linked(closest)
-    labels = written(components(links), "gram-labels")
+    labels = written(few(components(links)), "gram-labels")
     joined = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
     apart = tried.join(joined("a"), "a", "left").join(joined("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     apart = written(apart.select("a", "b").join(closest, ["a", "b"], "left_anti"), "gram-pairs")
     links = links.unionByName(linked(apart))
-    labels = written(components(links), "gram-labels")
+    labels = written(few(components(links)), "gram-labels")
 
     # Signatures whose members are not all in one component.
     label = nodes.join(labels, "node", "left").select("h1", "node", "n", "parity", F.coalesce("component", "node").alias("component"))
@@ -416,7 +426,7 @@ def _settled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     extra = linked(more) if more.limit(1).count() else None
     if extra is not None and extra.limit(1).count():
         links = links.unionByName(extra)
-        labels = written(components(links), "gram-labels")
+        labels = written(few(components(links)), "gram-labels")
 
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.drop("parity", "wide").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm.common import bind, not_above, slices, small_batches, utf8
+from staywise.llm.common import KEPT, bind, light_batches, not_above, slices, small_batches, utf8
 from staywise.session import ship_code, written
 
 MAGIC = b"S8BFRAME"
@@ -44,6 +44,7 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
 
 _TOKENIZERS: dict[str, tuple] = {}
+KEPT.append(_TOKENIZERS)
 #: Words and stems a worker keeps, and as many of the time before.
 _CACHED_WORDS, _CACHED_STEMS = 50_000, 150_000
 
@@ -355,7 +356,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def token_index(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     read = read_token_files(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    index = written(read, "token-index")
+    with light_batches(spark):  # a file or so at a time
+        index = written(read, "token-index")
     totals = index.groupBy("range").agg(F.sum("n_tokens").alias("n")).orderBy("range").collect()  # 10,000 ranges at most
     manifest, before = [], 0
     for row in totals:

@@ -7,11 +7,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpus_rows import awkward, cut_bytes, empty, grams, linked_groups, prose
 from staywise.llm import components, decontaminate, ngram_join, quality_rules, suffix_dedup
+from staywise.llm.common import light_batches
+from staywise.session import written
 
 
 def test_quality_measures_of_awkward_rows(spark):
@@ -157,6 +160,69 @@ def hash_of(spark, text: str) -> int:
     return spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Every file that is written starts processes, so a table of links is not a file per part of a shuffle."""
+    tables = []
+
+    def kept(df, label):
+        tables.append(written(df, label))
+        return tables[-1]
+
+    monkeypatch.setattr(components, "written", kept)
+    with_parts = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in with_parts}
+    try:
+        for name, value in with_parts.items():
+            spark.conf.set(name, value)
+        edges = spark.createDataFrame([(k, k + 1) for k in range(0, 2000, 2)], "u long, v long")
+        assert components.components(edges).count() == 1000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert max(len(t.inputFiles()) for t in tables) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_joined_texts_reach_workers_in_light_batches(spark, monkeypatch):
+    """A batch of 10,000 whole texts would stand in the worker and in the executor at once."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    name, held = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+
+    def kept(df, label):
+        held.setdefault(label, spark.conf.get(name, None))
+        return written(df, label)
+
+    monkeypatch.setattr(ngram_join, "written", kept)
+    docs = awkward(spark, *[(100 + k, prose(k, 60), "en", "a", 1) for k in range(20)])
+    assert ngram_join.join_components(docs).count() == docs.count()
+    assert held["gram-sets"] == held["gram-trees"] == str(4 << 20) and held["gram-nodes"] is None
+    with light_batches(spark, 1 << 16):
+        wide = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+        seen = wide.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in seen) == 2000 and max(r.bytes for r in seen) <= 2 << 16
+    assert spark.conf.get(name, None) is None
+
+
+def test_a_task_leaves_nothing_in_its_worker():
+    """Workers are reused: words and automata that stay would stand beside what the next step needs."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "doc": [1, 2], "print": [1, 2], "text": [prose(1, 40), None]})
+    decontaminate._BUILT[-1] = (None, [])
+    assert [b.num_rows for b in ngram_join._fingerprints(iter([batch]), 3)] == [2]
+    assert not ngram_join._HASHES and not decontaminate._BUILT
+    assert list(ngram_join._signed(iter([batch]), 3, 90)) and not ngram_join._HASHES
+
+
+def test_signatures_are_sent_in_pieces(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": [prose(k, 40) for k in range(10)]})
+    whole = pa.Table.from_batches(ngram_join._signed(iter([batch]), 3, 80))
+    monkeypatch.setattr(ngram_join, "_SENT", 7)
+    pieces = list(ngram_join._signed(iter([batch]), 3, 80))
+    assert max(p.num_rows for p in pieces) == 7 and pa.Table.from_batches(pieces).equals(whole)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
