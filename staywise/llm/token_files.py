@@ -45,8 +45,9 @@ WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
 
 _TOKENIZERS: dict[str, tuple] = {}
 KEPT.append(_TOKENIZERS)
-#: Words and stems a worker keeps, and as many of the time before.
-_CACHED_WORDS, _CACHED_STEMS = 50_000, 150_000
+#: Words, stems and runs of marks a worker keeps, besides those of one text; bytes of a word that is kept.
+_CACHED_WORDS, _CACHED_STEMS, _CACHED_MARKS, _CACHED_BYTES = 500_000, 650_000, 10_000, 64
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # -- Simple-8b ---------------------------------------------------------------------------
@@ -73,42 +74,38 @@ def pack(ids):
     top = int(ids.max()).bit_length()
     selector = np.zeros(len(padded), np.uint8)
     for s in range(14, 0, -1):  # denser selectors overwrite
+        if s > 1 and top <= WIDTHS[s - 1]:
+            continue  # the next one overwrites all
         narrow = np.flatnonzero(padded < (1 << WIDTHS[s])) if top > WIDTHS[s] else np.arange(len(padded))
         span = COUNTS[s] - 1
         selector[narrow[: len(narrow) - span][narrow[span:] - narrow[: len(narrow) - span] == span]] = s
-    at = np.arange(n)
-    at += at // BLOCK * gap
-    selector = selector[at]
-    ids = ids.astype(np.uint64)
-    free = selector == 0
-    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
-    escapes = ids[free]
-    rank = np.cumsum(free) - 1
-    counts = np.array(COUNTS)
+    selector = selector.reshape(blocks, -1)[:, :BLOCK].reshape(-1)[:n]
+    free = np.flatnonzero(selector == 0)
+    escapes = ids[free].astype(np.uint64)
+    after = np.arange(n) + np.array(COUNTS)[selector]
     place = np.arange(0, n, BLOCK)
     ends = np.minimum(place + BLOCK, n)
-    starts_of_words, owner, live = [], [], np.arange(len(place))
-    while len(live):
-        starts_of_words.append(place[live])
-        owner.append(live)
-        place[live] += counts[selector[place[live]]]
-        live = live[place[live] < ends[live]]
-    first, block = np.concatenate(starts_of_words), np.concatenate(owner)
-    order = np.argsort(first, kind="stable")
-    first, block = first[order], block[order]
+    opens = np.zeros(n, bool)
+    while len(place):
+        opens[place] = True
+        place = after[place]
+        live = place < ends
+        if not live.all():
+            place, ends = place[live], ends[live]
+    first = np.flatnonzero(opens)
     sel = selector[first]
+    at = first + first // BLOCK * gap
+    padded = padded.astype(np.uint64)
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(1, 15):
         own = np.flatnonzero(sel == s)
-        room = left[first[own]]
-        for k in range(COUNTS[s]):
-            has = own[room > k]
-            if not len(has):
-                break
-            words[has] |= ids[first[has] + k] << np.uint64(k * WIDTHS[s])
+        start, word = at[own], words[own]
+        for k in range(COUNTS[s] if len(own) else 0):
+            word |= padded[start + k] << np.uint64(k * WIDTHS[s])
+        words[own] = word
     own = sel == 0
-    words[own] |= rank[first[own]].astype(np.uint64)
-    return np.searchsorted(block, np.arange(len(ends))).astype(np.uint32), words, escapes
+    words[own] |= np.searchsorted(free, first[own]).astype(np.uint64)
+    return np.searchsorted(first, np.arange(0, n, BLOCK)).astype(np.uint32), words, escapes
 
 
 def unpack(starts, words, escapes, n: int):
@@ -186,10 +183,12 @@ def _u32(ids: list[int]) -> bytes:
 class _Words(dict):
     """Ids of words as u32 bytes, encoded when first asked for.
 
-    Most words are Latin letters with at most one full stop or comma behind. For those the
-    tokenizer's steps before its merges do nothing but lower-case, split off the mark and
+    Most words are Latin letters with ASCII marks behind, if any. For those the tokenizer's
+    steps before its merges do nothing but lower-case, split off the marks as one piece and
     spell out bytes, so the merges are asked directly and once for all spellings of a word.
     Every other word goes through the whole tokenizer.
+
+    Most different words come once, so a spelling is kept when its stem was met before.
     """
 
     def __init__(self, tokenizer):
@@ -197,46 +196,45 @@ class _Words(dict):
 
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.stems, self.old, self.old_stems = tokenizer, {}, {}, {}
+        self.tokenizer, self.stems, self.marks = tokenizer, {}, {}
         self.merge = tokenizer.model.tokenize
-        self.plain = re.compile("([a-zà-öø-ÿß]+)([.,]?)").fullmatch
+        self.plain = re.compile("([a-zà-öø-ÿß]+)([!-/:-@[-`{-~]*)").fullmatch
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100)}
-        self.marks = {"": b"", ".": self.encode("."), ",": self.encode(",")}
 
     def encode(self, word: str) -> bytes:
         return _u32(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is not None:
-            self[word] = ids
-            return ids
-        text = word.decode()
-        plain = self.plain(text.lower())
-        if plain:
-            stem, mark = plain.groups()
-            ids = self.stems.get(stem)
-            if ids is None:
-                ids = self.old_stems.get(stem)
-                if ids is None:
-                    spelt = stem if stem.isascii() else stem.translate(self.spelling)
-                    ids = _u32([t.id for t in self.merge(spelt)])
-                self.stems[stem] = ids
-            if mark:
-                ids += self.marks[mark]
+        if len(word) > _CACHED_BYTES:
+            return self.encode(word.decode())
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():  # of bytes: ASCII alone
+            mark, stem = word[len(stem) :], stem.lower()
         else:
-            ids = self.encode(text)
-        self[word] = ids
+            text = word.decode()
+            plain = self.plain(text.lower())
+            if not plain:
+                ids = self[word] = self.encode(text)
+                return ids
+            stem, mark = plain[1].encode(), plain[2].encode()
+        ids = self.stems.get(stem)
+        met = ids is not None
+        if not met:
+            ids = self.stems[stem] = _u32([t.id for t in self.merge(stem.decode().translate(self.spelling))])
+        if mark:
+            if mark not in self.marks:
+                self.marks[mark] = self.encode(mark.decode())
+            ids += self.marks[mark]
+        if met:
+            self[word] = ids
         return ids
 
     def trim(self) -> None:
-        """Bounds the words that are kept; those used since the last time outlive it."""
-        if len(self) > _CACHED_WORDS:
-            self.old = dict(self)
-            self.clear()
-        if len(self.stems) > _CACHED_STEMS:
-            self.old_stems, self.stems = self.stems, {}
+        """Bounds what is kept: by beginning anew; a table of older words beside it took more time and memory."""
+        for kept, most in ((self, _CACHED_WORDS), (self.stems, _CACHED_STEMS), (self.marks, _CACHED_MARKS)):
+            if len(kept) > most:
+                kept.clear()
 
 
 def _tokenizer(path: str):
@@ -263,8 +261,8 @@ def encode_texts(texts: list[bytes], path: str, by_word: bool) -> Iterator[bytes
             yield _u32(done.ids)
         return
     for text in texts:
+        known.trim()  # here, since a caller need not ask for more than the last text
         yield b"".join(map(known.__getitem__, text.split()))
-    known.trim()
 
 
 def _write_frames(batches: Iterator[pa.RecordBatch], path: str, by_word: bool, end_id: int, frame_ids: int) -> Iterator[pa.RecordBatch]:

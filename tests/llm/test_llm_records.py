@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,26 @@ def test_words_encode_as_whole_texts():
     assert list(token_files.encode_texts(texts, path, True)) == list(token_files.encode_texts(texts, path, False))
 
 
+def test_words_kept_by_a_worker_are_bounded(monkeypatch):
+    """Whoever writes frames never asks for more than the last text of a batch."""
+    limits = {"_CACHED_WORDS": 40, "_CACHED_STEMS": 60, "_CACHED_MARKS": 20}
+    for name, value in (limits | {"_TOKENIZERS": {}}).items():
+        monkeypatch.setattr(token_files, name, value, raising=False)
+    path, rng = vocabulary("word_bpe_49k.json"), random.Random(8)
+    word = lambda: "".join(rng.choices("abcéß", k=4)) + "".join(rng.choices(".,*", k=rng.randint(0, 3)))
+    texts = [" ".join(word() for _ in range(10)) for _ in range(400)] + ["long" * 50 + "! 12 (a)"]
+    rows = [pa.RecordBatch.from_pydict({"range": [0] * 50, "doc_id": list(range(50)), "text": texts[k : k + 50]}) for k in range(0, 400, 50)]
+    rows.append(pa.RecordBatch.from_pydict({"range": [0], "doc_id": [400], "text": texts[400:]}))
+    written = list(token_files._write_frames(iter(rows), path, True, 1, 1 << 18))
+    known = token_files._TOKENIZERS[path][1]
+    for kept, name in ((known, "_CACHED_WORDS"), (known.stems, "_CACHED_STEMS"), (known.marks, "_CACHED_MARKS")):
+        assert len(kept) <= limits[name] + 10  # and the words of a text
+    assert max(map(len, known)) <= 64
+    ids = np.concatenate([f[4] for b in written for f in token_files.frames(b.column(0)[0].as_py() + b"\n")])
+    expected = b"".join(x + b"\1\0\0\0" for x in token_files.encode_texts([t.encode() for t in texts], path, False))
+    assert ids.astype("<u4").tobytes() == expected
+
+
 def test_token_files_hold_every_text(spark):
     from tokenizers import Tokenizer
 
