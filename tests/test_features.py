@@ -297,3 +297,42 @@ def test_oversampling_searches_all_points_at_every_size(spark, monkeypatch):
     for r in grown:
         s = np.array(r["features"])
         assert min(np.linalg.norm(s - a) + np.linalg.norm(b - s) - np.linalg.norm(b - a) for a, b in ends) < 1e-9
+
+
+def test_boxes_rule_most_points_out(monkeypatch):
+    """Numbers beside zeros and ones: requests find their exact neighbours while they look at few of the points."""
+    rng = np.random.default_rng(11)
+    x = np.hstack([rng.normal(size=(6000, 2)), (rng.random((6000, 12)) < 0.5) * 1.0])
+    splits = oversample.Splits.of(x[:1500], 8)
+    cell = splits.cell(x)
+    assert splits.cells > 150 and set(cell.tolist()) <= set(range(splits.cells))
+    low, high = np.full((2, splits.cells, 14), np.nan)
+    for c in np.unique(cell):
+        low[c], high[c] = x[cell == c].min(axis=0), x[cell == c].max(axis=0)
+    pid = np.array([f"p{i}" for i in range(6000)], dtype=object)
+    group, seen, plain = oversample._Group(0, 5, low, high), [], oversample._distances
+    monkeypatch.setattr(oversample, "_distances", lambda a, b: seen.append(len(a) * len(b)) or plain(a, b))
+    homes = np.unique(cell)[:20]
+    rows = np.concatenate([np.flatnonzero(cell == c) for c in homes])
+    for c in homes:
+        own = cell == c
+        group.add(int(c), pid[own], x[own], np.full((own.sum(), 5), np.inf), np.full((own.sum(), 5), None, object), np.zeros((own.sum(), 5), np.int64))
+    for c in (*homes, *np.setdiff1d(np.unique(cell), homes)):
+        own = cell == c
+        group.meet(int(c), pid[own], x[own], np.ones(own.sum(), np.int64))
+    d = np.linalg.norm(x[rows][:, None] - x[None], axis=2)
+    d[np.arange(len(rows)), rows] = np.inf
+    np.testing.assert_allclose(group.distance, np.sort(d, axis=1)[:, :5], atol=1e-6)
+    assert sum(seen) < 0.3 * len(rows) * 6000
+    batch = next(group.found())
+    assert batch.num_rows == len(rows) and batch.column("pid").to_pylist() == pid[rows].tolist()
+
+
+def test_requests_are_dealt_to_groups_of_bounded_size():
+    dealt = oversample._grouped({0: 3, 1: 4, 2: 25, 3: 1, 5: 8}, 10)
+    assert dealt == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (5, 4, 1)]
+
+
+def test_rows_that_found_nothing_yet_travel_without_null_lists(spark):
+    lists = spark.range(1).select(*oversample._nothing())
+    assert [c.nullable for c in lists.schema] == [False] * 3 and lists.first() == ([], [], [])
