@@ -6,7 +6,9 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from staywise.operators import attribution, boosting
 from staywise.operators.boosting import PARTS, Settings
@@ -236,3 +238,60 @@ def test_a_row_without_label_spoils_its_own_bins():
     g, h, own = np.array([1.0, np.nan, 4.0]), np.array([1.0, np.nan, 2.0]), np.array([2, 3])
     got = boosting._Columns(bins, own).sums([np.arange(3)], g, h, np.arange(2), np.array([0, 2]), own, 5)[0, 0]
     assert got[[0, 2, 3]].tolist() == [1.0, 1.0, 4.0] and np.isnan(got[[1, 4]]).all()
+
+
+def test_tasks_that_read_the_rows_grow_the_same_models(rows, fitted, monkeypatch):
+    """Beyond the broadcast each task reads the table and holds few bytes a row; no job scans level by level."""
+    trainer = boosting.Trainer(rows, "x", MODELS, bins=16)
+    held = boosting.held_bytes(trainer.sizes, 2000)
+    monkeypatch.setattr(boosting, "SHARED_BYTES", -(-held // boosting.HELD))
+    monkeypatch.setattr(boosting, "_PART", 300)
+    monkeypatch.setattr(boosting, "JOINT", 256)  # some nodes are summed by joint bins, others by feature
+    monkeypatch.setattr(boosting.Trainer, "_level", None)
+    trainer = boosting.Trainer(rows, "x", MODELS, bins=16)
+    assert trainer.shared is None and trainer.held == 2000
+    trainer.grow(2)
+    trainer.grow(3)
+    for a, b in zip(fitted, trainer.fitted, strict=True):
+        for s, t in zip(a.trees, b.trees, strict=True):
+            assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and (s.value == t.value).all()
+
+
+def test_joint_bins_tell_each_features_bin():
+    rng = np.random.default_rng(6)
+    sizes = np.array([64] * 3 + [2] * 15 + [1, 255, 9])
+    bins = np.stack([rng.integers(0, k, 700) for k in sizes], axis=1).astype(np.uint8)
+    columns = boosting._Joint(sizes, 800)
+    columns.put(0, bins[:300])
+    columns.put(300, bins[300:])
+    rows = rng.permutation(700)[:400]
+    assert all((columns.bin(f, rows) == bins[rows, f]).all() for f in np.flatnonzero(sizes > 1).tolist())
+    assert (columns.twos(rows) == bins[rows][:, sizes == 2].T).all()
+
+
+def test_cuts_are_sparks_quantiles(spark, monkeypatch):
+    """Values that repeat, are missing, no numbers or all the same; runs that are thinned keep ranks closely."""
+    rng = np.random.default_rng(8)
+    columns = [rng.normal(size=3000), rng.integers(0, 2, 3000) * 1.0, rng.integers(0, 40, 3000) / 7, np.full(3000, 2.5), (rng.random(3000) < 0.01) * 1.0]
+    x = [[float(v) for v in r] for r in zip(*columns)]
+    x = [[None if i % 5 == 0 else r[0], *r[1:], math.nan if i == 7 else float(i), None] for i, r in enumerate(x)]
+    df = spark.createDataFrame([(r,) for r in x], "x array<double>").repartition(5)
+    shares = [k / 16 for k in range(1, 16)]
+    found = df.agg(*[F.percentile_approx(F.col("x")[j], shares, 100_000) for j in range(7)], *[F.max(F.col("x")[j]) for j in range(7)]).first()
+    want = [sorted({v for v in found[j] or [] if v < found[7 + j]}) for j in range(7)]
+    assert [c.tolist() for c in boosting.quantile_cuts(df, "x", 7, 16)] == want and len(want[0]) == 15 and want[3] == want[5] == []
+    monkeypatch.setattr(boosting, "_RANKED", 200)
+    monkeypatch.setattr(boosting, "_MERGED", 800)
+    order = np.sort([r[0] for r in x if r[0] is not None])
+    parts = np.random.default_rng(9).permutation(len(order)).reshape(-1, 200)
+    thin = [pa.RecordBatch.from_arrays([pa.array([[v] for v in order[p]])], ["x"]) for p in parts]
+    ranked = [b for p in thin for b in boosting._ranked(iter([p]), 1)]
+    cuts = next(boosting._cuts_of(iter(ranked), shares)).column("cuts").to_pylist()[0]
+    ranks = np.searchsorted(order, cuts)
+    assert np.abs(ranks - [q * len(order) for q in shares]).max() <= len(order) * (1 / 100 + 1 / 200 * 12)
+
+
+def test_thinned_values_keep_counts():
+    values, counts = boosting._thinned(np.arange(1000.0), np.ones(1000, np.int64), 500)
+    assert counts.sum() == 1000 and len(values) <= 501 and values[-1] == 999
+    assert (np.cumsum(counts) - 1 == values).all()  # the rank of each kept value is exact
